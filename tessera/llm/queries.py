@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, packing
-from tessera.llm.common import remainder, table
+from tessera.llm import langid, mixing, packing, urlfilter
+from tessera.llm.common import materialise, remainder, table
+from tessera.llm.oracles import ORACLES  # noqa: F401
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
 
 def word_tokenizer() -> str:
@@ -16,6 +20,20 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    docs = materialise(docs)
+    sources = materialise(mixing.cycled_weights(mixing.sources_of(docs), SOURCE_WEIGHTS))
+    got = mixing.mix(docs, mixing.water_fill(sources, share=1.5, max_epochs=2.0))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urlfilter.fit(pages, spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    return urlfilter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -29,5 +47,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_mixing": op4_mixing, "op8_url_filter": op8_url_filter, "op9_language_id": op9_language_id, "op10_packing": op10_packing}
