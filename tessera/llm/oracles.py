@@ -1,5 +1,7 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
+from tessera.llm.licenses import COPYRIGHT_LINE, LICENSES, NOT_WORD, NOTICES, SPELLINGS
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -43,4 +45,34 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES = {"op4_mixing": OP4, "op8_url_filter": OP8}
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """DuckDB's array of a text's canonical lines."""
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    for a, b in SPELLINGS:
+        out = f"regexp_replace({out}, {_quoted(a)}, {_quoted(b)}, 'g')"
+    out = f"regexp_replace({out}, {_quoted(NOT_WORD)}, ' ', 'g')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _known(texts: list[tuple[str, str]]) -> str:
+    rows = ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(texts))
+    return f"SELECT digest, arg_min(license, i) AS license FROM (SELECT i, license, md5(array_to_string({_canonical('t')}, ' ')) AS digest FROM (VALUES {rows}) v(i, license, t)) GROUP BY digest"
+
+
+OP6 = f"""
+WITH l AS ({_known(LICENSES)}), n AS ({_known(NOTICES)}),
+d AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
+w AS (SELECT doc_id, lines, md5(array_to_string(lines, ' ')) AS text_digest FROM d),
+u AS (SELECT doc_id, unnest(lines) AS line FROM d),
+m AS (SELECT u.doc_id, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices
+      FROM u JOIN n ON n.digest = md5(u.line) WHERE length(u.line) <= 400 GROUP BY u.doc_id)
+SELECT w.doc_id, w.text_digest, l.license, coalesce(m.notices, '') AS notices
+FROM w LEFT JOIN l ON l.digest = w.text_digest AND w.text_digest <> md5('') LEFT JOIN m ON m.doc_id = w.doc_id
+"""
+
+ORACLES = {"op4_mixing": OP4, "op6_licenses": OP6, "op8_url_filter": OP8}

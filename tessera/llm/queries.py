@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, packing, urlfilter
+from tessera.llm import langid, licenses, mixing, packing, pii, simhash, toxicity, urlfilter
 from tessera.llm.common import materialise, remainder, table
 from tessera.llm.oracles import ORACLES  # noqa: F401
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
+#: Stands in for a secret that a deployment passes to ``pii.pseudonymise`` itself.
+PII_KEY = "tessera-pseudonyms"
 
 
 def word_tokenizer() -> str:
@@ -20,6 +22,19 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_pseudonyms")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     docs = materialise(docs)
@@ -28,6 +43,26 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licenses.scan(docs, licenses.known(spark, licenses.LICENSES), licenses.known(spark, licenses.NOTICES))
+    return got.select("doc_id", "text_digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, edited, following = [(F.col(f"{k}_a"), F.col(f"{k}_b")) for k in ("fp", "edited", "next")]
+    return got.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.shown(*own).alias("fingerprint"),
+        simhash.shown(*edited).alias("edited_fingerprint"),
+        simhash.likeness(*own, *edited).alias("near_edited"),
+        simhash.likeness(*own, *following).alias("near_next"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = urlfilter.fit(pages, spark.createDataFrame(URL_RULES, "rule string, verdict string"))
@@ -47,4 +82,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_url_filter": op8_url_filter, "op9_language_id": op9_language_id, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
+    "op4_mixing": op4_mixing,
+    "op6_licenses": op6_licenses,
+    "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
+}
