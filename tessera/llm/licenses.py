@@ -51,7 +51,7 @@ def canonical_lines(text: Column) -> Column:
     for a, b in SPELLINGS:
         out = F.regexp_replace(out, a, b)
     out = F.regexp_replace(out, NOT_WORD, " ")
-    return F.filter(F.transform(F.split(out, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(out, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def canonical(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, mixing, packing, pii, simhash, toxicity, urlfilter
+from tessera.llm import langid, licenses, mixing, neardup, packing, pii, simhash, toxicity, urlfilter
 from tessera.llm.common import materialise, remainder, table
 from tessera.llm.oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = licenses.scan(docs, licenses.known(spark, licenses.LICENSES), licenses.known(spark, licenses.NOTICES))
@@ -86,6 +90,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
+    "op5_neardup": op5_neardup,
     "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,

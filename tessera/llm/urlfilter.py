@@ -10,14 +10,14 @@ the first that does not, is odd: exact for every key the cascade was built over,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bloom import Bloom, admitted, build_bloom, hashed
 from tessera.llm.common import materialise
 
 ALLOW, BLOCK = "allow", "block"
@@ -46,64 +46,12 @@ def keys(host_col: Column, path_col: Column, depths: list[int], labels: list[int
     return F.array_compact(F.array(*[F.concat(t, h) for t in tails for h in heads]))
 
 
-@dataclass(frozen=True)
-class Bloom:
-    bits: np.ndarray = field(repr=False)
-    size: int
-    hashes: int
-
-    def admits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.ones(len(a), dtype=bool)
-        for i in range(self.hashes):
-            at = (a + np.uint64(i) * b) % np.uint64(self.size)
-            out &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Bloom, ...]
     exact: bool = True
 
 
-def _hashed(key: Column, level: int) -> list[Column]:
-    """Two hashes a level; the second is odd, so its multiples reach all places."""
-    return [F.xxhash64(key, F.lit(2 * level)).alias("a"), F.xxhash64(key, F.lit(2 * level + 1)).bitwiseOR(F.lit(1)).alias("b")]
-
-
-def _bloom(members: DataFrame, n: int, rate: float, level: int, max_bits: int) -> Bloom:
-    """A filter over ``members(key)``; only set words, at most ``max_bits / 64`` of them, come to the driver."""
-    k = max(1, round(-math.log2(rate)))
-    size = max(64, math.ceil(n * k / math.log(2)))
-    if size > max_bits:
-        raise ValueError(f"a filter of {size} bits is needed, more than max_bits={max_bits}")
-    a, b = _hashed(F.col("key"), level)
-    placed = members.select(a, b)
-
-    def positions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            x, y = p["a"].to_numpy().astype(np.uint64), p["b"].to_numpy().astype(np.uint64)
-            at = np.unique(np.concatenate([(x + np.uint64(i) * y) % np.uint64(size) for i in range(k)]))
-            word, bit = (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63))
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, int)
-            yield pd.DataFrame({"word": word[first], "mask": np.bitwise_or.reduceat(bit, first).astype(np.int64) if len(first) else np.empty(0, np.int64)})
-
-    words = placed.mapInPandas(positions, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bits = np.zeros(size // 64 + 1, dtype=np.uint64)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64).astype(np.uint64)
-    return Bloom(bits, size, k)
-
-
-def _admitted(frame: DataFrame, bloom: Bloom, level: int) -> DataFrame:
-    shared = frame.sparkSession.sparkContext.broadcast(bloom)  # at most max_bits
-
-    @F.pandas_udf("boolean")
-    def admits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.admits(a.to_numpy().astype(np.uint64), b.to_numpy().astype(np.uint64)))
-
-    return frame.where(admits(*_hashed(F.col("key"), level)))
-
-
 def build(listed: DataFrame, universe: DataFrame, *, max_bits: int = 1 << 30, max_levels: int = 64) -> Cascade:
     """A cascade for ``listed(key)`` over ``universe(key)``; nulls and repeated keys do not matter.
 
@@ -121,8 +69,8 @@ def build(listed: DataFrame, universe: DataFrame, *, max_bits: int = 1 << 30, ma
     levels: list[Bloom] = []
     inside, outside, count, rate = listed, others, n, min(0.5, math.sqrt(0.5) * n / max(m, 1))
     while count and len(levels) < max_levels:
-        bloom = _bloom(inside, count, rate, len(levels), max_bits)
-        outside = materialise(_admitted(outside, bloom, len(levels)))
+        bloom = build_bloom(inside, "key", count, rate, level=len(levels), max_bits=max_bits)
+        outside = materialise(admitted(outside, "key", bloom, len(levels)))
         levels.append(bloom)
         # What must not be admitted becomes the next level's content, and the other way round.
         inside, outside, count, rate = outside, inside, outside.count(), 0.5
@@ -134,7 +82,7 @@ def build(listed: DataFrame, universe: DataFrame, *, max_bits: int = 1 << 30, ma
 def contains(keys_col: Column, cascade: Cascade, session) -> Column:
     """Those of an array's keys that the cascade lists, in the array's order; a null array gives an empty one."""
     shared = session.sparkContext.broadcast(cascade)
-    hashes = F.transform(F.coalesce(keys_col, F.array().cast("array<string>")), lambda k: F.array(*[h for i in range(len(cascade.levels)) for h in _hashed(k, i)]))
+    hashes = F.transform(F.coalesce(keys_col, F.array().cast("array<string>")), lambda k: F.array(*[h for i in range(len(cascade.levels)) for h in hashed(k, i)]))
     if not cascade.levels:
         return F.array().cast("array<string>")
 
