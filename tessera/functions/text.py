@@ -35,4 +35,4 @@ def decode_document(value: Column) -> Column:
 def decode_value(value: Column) -> Column:
     """A JSON value as its own text: strings lose their quotes, anything that is not JSON stays as it is."""
     quoted = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
-    return F.coalesce(quoted, value)
+    return F.when(value.rlike(r'^\s*"'), F.coalesce(quoted, value)).otherwise(value)

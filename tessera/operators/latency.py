@@ -23,7 +23,7 @@ def percentiles(rows: DataFrame, col: str, ps: tuple[int, ...] = (50, 95, 99)) -
     counts = rows.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
     # Ranks come from range buckets: counts of whole buckets, then a running sum within each.
     edges = counts.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).scalar()
-    spread = counts.withColumn("b", F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")), lambda e: e < F.col("v"))))
+    spread = counts.withColumn("__edges", F.coalesce(edges, F.array().cast("array<double>"))).withColumn("b", F.size(F.filter("__edges", lambda e: e < F.col("v")))).drop("__edges")
     before = spread.groupBy("b").agg(F.sum("c").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n")).select(F.col("b").alias("__b"), "before")
     ranked = spread.join(F.broadcast(before), F.col("b") == F.col("__b")).withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy("v")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).scalar()

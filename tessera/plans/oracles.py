@@ -116,14 +116,14 @@ b AS (
   SELECT node_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BOOLEAN AS admitted, 'CLOSED' AS state, 0::BIGINT AS failures, 0::BIGINT AS good, 0::BIGINT AS failed_at FROM (SELECT DISTINCT node_id FROM o)
   UNION ALL
   SELECT node_id, i, seq, admitted,
-    CASE WHEN NOT admitted THEN state WHEN ok THEN CASE WHEN at = 'HALF_OPEN' AND good + 1 >= 3 THEN 'CLOSED' ELSE at END
-         WHEN at = 'HALF_OPEN' OR failures + 1 >= 5 THEN 'OPEN' ELSE at END,
+    CASE WHEN NOT admitted THEN state WHEN ok THEN CASE WHEN cur = 'HALF_OPEN' AND good + 1 >= 3 THEN 'CLOSED' ELSE cur END
+         WHEN cur = 'HALF_OPEN' OR failures + 1 >= 5 THEN 'OPEN' ELSE cur END,
     CASE WHEN NOT admitted THEN failures WHEN ok THEN 0 ELSE failures + 1 END,
-    CASE WHEN admitted AND ok AND at = 'HALF_OPEN' THEN good + 1 ELSE good END,
+    CASE WHEN admitted AND ok AND cur = 'HALF_OPEN' THEN good + 1 ELSE good END,
     CASE WHEN admitted AND NOT ok THEN ts_ms ELSE failed_at END
   FROM (SELECT o.node_id, o.i, o.seq, o.ok, o.ts_ms, b.state, b.failures, b.failed_at,
                NOT (b.state = 'OPEN' AND o.ts_ms - b.failed_at <= 30000) AS admitted,
-               CASE WHEN b.state = 'OPEN' AND o.ts_ms - b.failed_at > 30000 THEN 'HALF_OPEN' ELSE b.state END AS at,
+               CASE WHEN b.state = 'OPEN' AND o.ts_ms - b.failed_at > 30000 THEN 'HALF_OPEN' ELSE b.state END AS cur,
                CASE WHEN b.state = 'OPEN' AND o.ts_ms - b.failed_at > 30000 THEN 0 ELSE b.good END AS good
         FROM b JOIN o ON o.node_id = b.node_id AND o.i = b.i + 1))"""
 
@@ -206,5 +206,5 @@ SELECT count(*) FILTER (is_healthy) AS healthy_nodes, count(*) FILTER (NOT is_he
     "rag_doc_codec": f"WITH {CHUNKS} SELECT key, md5(text) AS text_md5, len(x) AS dimension, '{{\"doc_id\":' || doc_id || '}}' AS metadata FROM docs",
     "rag_prefix_topk": f"WITH {HITS} SELECT key, md5(text) AS text_md5, round(score, 6) AS score FROM hits",
     "rag_answer": f"WITH {HITS} SELECT string_agg(text, chr(10) ORDER BY score DESC, key) AS answer FROM hits",
-    "kv_value_codec": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE event_type END AS value FROM events",
+    "kv_value_codec": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props ELSE event_type END AS value FROM events",
 }

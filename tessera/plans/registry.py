@@ -370,4 +370,4 @@ def rag_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kv_value_codec(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "events").select("event_id", text.decode_value(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))).alias("value"))
+    return fx.table(spark, sf, "events").select("event_id", text.decode_value(F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.to_json(F.array("event_type")).substr(F.lit(2), F.length("event_type") + 2)).otherwise(F.col("event_type"))).alias("value"))
