@@ -31,7 +31,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     has no bit set.
     """
     words = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("__t"))
-    words = words.select(*keys, F.xxhash64("__t", F.lit(1)).alias("__a"), F.xxhash64("__t", F.lit(2)).alias("__b"), F.coalesce(F.least(F.length("__t"), F.lit(HEAVIEST)), F.lit(0)).cast("long").alias("__w"))
+    words = words.select(*keys, F.xxhash64("__t", F.lit(1)).alias("__a"), F.xxhash64("__t", F.lit(2)).alias("__b"), F.when(F.col("__t").isNull(), 0).otherwise(F.least(F.length("__t"), F.lit(HEAVIEST))).cast("long").alias("__w"))
     votes = [F.sum(F.shiftright(h, i).bitwiseAND(F.lit(_PAIR)) * F.col("__w")).alias(f"{h}{i}") for h in ("__a", "__b") for i in range(32)]
     sums = words.groupBy(*keys).agg(F.sum("__w").alias("__all"), *votes)
 
