@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder's path, in the folder that executors share where the session names one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 def event_ms():
     """Epoch milliseconds of the zoneless ``ts``, read as UTC whatever the session's zone."""
     return F.expr("unix_millis(cast(convert_timezone('UTC', current_timezone(), ts) as timestamp))")

@@ -188,6 +188,9 @@ SELECT cell_id, count(*) AS n, (d - 1)::INT AS d, round(avg(y), 6) + 0.0 AS x FR
 p AS (SELECT t.query_id, count(b.id) AS hits, count(*) AS n FROM t LEFT JOIN b ON b.query_id = t.query_id AND b.id = t.id GROUP BY t.query_id)
 SELECT round(avg(hits / n), 6) AS macro, round(sum(hits) / sum(n), 6) AS micro FROM p""",
     "ivf_remove": f"WITH {VECTORS}, {CELLS} SELECT c.cell_id, count(a.id) AS size FROM c LEFT JOIN (SELECT * FROM assigned WHERE id % 4 <> 0) a USING (cell_id) GROUP BY c.cell_id",
+    "ivf_save_load": f"WITH {VECTORS}, {CELLS} SELECT id, cell_id, round(x[1], 6) AS first FROM assigned",
+    "lsm_manager_trace": f"""WITH {ENTRIES} SELECT s + 1 AS step, s AS arrived, s = 3 AS compacted, CASE WHEN s = 3 THEN 1 ELSE s + 1 END AS segments,
+  CASE WHEN s = 3 THEN (SELECT count(*) FILTER (NOT tombstone) FROM newest) END AS live FROM range(4) t(s)""",
     "lsm_segment_manifest": f"WITH {ENTRIES} SELECT segment_ord, count(*) AS entry_count, min(seq) AS min_seq, max(seq) AS max_seq FROM e GROUP BY segment_ord",
     "lsm_compact": f"WITH {ENTRIES} SELECT id, segment_ord, seq, metadata FROM newest WHERE NOT tombstone",
     "lsm_compact_stats": f"WITH {ENTRIES} SELECT (SELECT count(DISTINCT segment_ord) FROM m) AS input_segments, (SELECT count(*) FROM m) - count(*) AS deduplicated, count(*) FILTER (tombstone) AS dropped_tombstones, count(*) FILTER (NOT tombstone) AS entry_count FROM newest",

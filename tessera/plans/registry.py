@@ -274,6 +274,14 @@ def ivf_remove(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.status(ivf.remove(_fixed_index(spark, sf), fx.vectors(spark, sf).where("id % 4 = 0")))
 
 
+@query
+def ivf_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    path = fx.work_dir(spark)
+    ivf.save(_fixed_index(spark, sf), path)
+    again = ivf.load(spark, path)
+    return again.postings.select("id", "cell_id", F.round(F.get("values", F.lit(0)) + 0.0, 6).alias("first"))
+
+
 # --- segments
 
 
