@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, materialise
 
 #: Hash buckets a source's documents are dealt into; the sampling error is at most one bucket of a source.
 BUCKETS = 1 << 14
@@ -81,7 +81,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 4, source_col: str =
     cuts = goal.join(packed, F.col("__source").eqNullSafe(F.col("__s")), "left").withColumn(
         "__cut", F.aggregate("__by", F.coalesce(empty, start), step, lambda a: a["cut"])
     )
-    cuts = cuts.select("__source", "source_size", "target", "__whole", F.coalesce("__cut", F.lit(-1)).alias("__cut"))
+    # A row a source, written out so that the join below stands alone: broadcast if small, else split where it is hot.
+    cuts = materialise(cuts.select("__source", "source_size", "target", "__whole", F.coalesce("__cut", F.lit(-1)).alias("__cut")))
     out = own.join(cuts, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     repeats = (F.col("__whole") + (F.col("__bucket") <= F.col("__cut")).cast("long")).cast("long")
     return out.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("__size")).drop("__bucket", "__size", "__source", "__whole", "__cut")
