@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release
+
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Digits, marks and control characters tell no language: each becomes a blank.
@@ -118,7 +120,7 @@ def decide(total: np.ndarray, temperature: float = 0.01) -> tuple[int, float, fl
     return best, float((rest.min() - total[best]) / rest.min()), float(1 / (1 + np.exp(-(rest - total[best]) / (temperature * total[best])).sum()))
 
 
-def identify(text: Column, model: LanguageModel, *, min_margin: float = 0.002) -> Column:
+def identify(text: Column, model: LanguageModel, *, min_margin: float = 0.001) -> Column:
     """Struct ``lang, score, margin, rejected`` of each whole text.
 
     A null text, an empty one and one without a letter get ``und``, score 0, margin 0 and are rejected. A text whose
@@ -139,11 +141,12 @@ def identify(text: Column, model: LanguageModel, *, min_margin: float = 0.002) -
                 best, margin, score = decide(sizes(t))
                 out.append((names[best], score, margin, margin < min_margin))
             yield pd.DataFrame(out, columns=["lang", "score", "margin", "rejected"])
+        release()
 
     return scored(text)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = 0.002) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
     """``docs`` with ``lang_pred, lang_score, lang_margin, lang_rejected``; columns of these names are replaced.
 
     Every row stays, repeated ones too; an empty table stays empty.
