@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, neardup, packing, pii
-from tessera.llm.common import materialise, table
+from tessera.llm.common import bounded_batches, materialise, table
 from tessera.llm.queries import PII_KEY, SOURCE_WEIGHTS, word_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; ``lang`` becomes what was found."""
+    bounded_batches(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"))
     got = langid.identify_languages(docs.select(*COLUMNS), model)
     return got.where(~F.col("lang_rejected")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -23,6 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id."""
+    bounded_batches(spark)
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
@@ -43,6 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as packed pieces of token ids."""
+    bounded_batches(spark)
     return packing.pack(docs, word_tokenizer(), size=2048, end_id=1)
 
 

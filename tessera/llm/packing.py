@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release
+
 #: Words of these characters only are cut here instead of in the tokenizer's slower normaliser and splitter.
 _PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 #: Letters, then marks: the two never share a token.
@@ -46,7 +48,7 @@ class WordCache(dict):
     starts anew, so memory is bounded.
     """
 
-    def __init__(self, spec: str, limit: int = 600_000):
+    def __init__(self, spec: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -239,7 +241,7 @@ def pack(
     text_col: str = "text",
     size: int = 2048,
     end_id: int = 1,
-    vocabulary_words: int = 600_000,
+    vocabulary_words: int = 400_000,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
@@ -275,6 +277,9 @@ def pack(
         out += windows.finish()
         if out:
             yield rows(out)
+        cache.clear()
+        del out, windows
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
