@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bloom import narrowed
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 WIDTH = 5
 #: Odd multipliers for the places of a shingle, and a finaliser's.
@@ -31,7 +31,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH, chunk: int = 1 << 22) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text of a string array, null as empty.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words than ``width`` has its
@@ -79,8 +79,9 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
             n, d1, d2, sketch = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
-                n.append(len(s)), d1.append(int(digest[0])), d2.append(int(digest[1])), sketch.append(s[:k].view(np.int64))
+                n.append(len(s)), d1.append(int(digest[0])), d2.append(int(digest[1])), sketch.append(s[:k].view(np.int64).copy())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip((n, d1, d2, sketch), kinds[1:])]], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
@@ -99,35 +100,47 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
                     ids, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _listed(postings: DataFrame, pivots: int) -> DataFrame:
-    """``postings(v, id, n)`` of values that two classes or more retain, with the list's size and its pivots.
+def _listed(postings: DataFrame, pivots: int, cap: int, by_value: bool) -> DataFrame:
+    """``postings(v, id, n, c)`` of values that two classes or more retain, with the list's size, its pivots and
+    ``hot``, the number of lists longer than ``cap`` that the class is in.
 
-    A pivot is the member whose hash with the value is smallest, so lists of the same members have different pivots.
+    A pivot is the member whose hash is smallest: the same in all lists of the same members, or, by value, another
+    in each.
     """
-    h = [F.xxhash64("id", "v", F.lit(i)) for i in range(pivots)]
-    lists = postings.groupBy("v").agg(F.count("*").alias("size"), *[f(c, h[i]).alias(f"{c}{i}") for i in range(pivots) for f, c in ((F.min_by, "id"), (F.min_by, "n"))])
-    return postings.join(lists.where("size >= 2"), "v")
+    h = [F.xxhash64("id", *(["v"] if by_value else []), F.lit(i)) for i in range(pivots)]
+    lists = postings.groupBy("v").agg(F.count("*").alias("size"), *[F.min_by(k, h[i]).alias(f"{k}{i}") for i in range(pivots) for k in ("id", "n", "c")])
+    listed = materialise(postings.join(lists.where("size >= 2"), "v"))
+    long = listed.where(F.col("size") > cap).groupBy("id").agg(F.count("*").alias("hot"))
+    return materialise(listed.join(long, "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0))))
 
 
-def _pairs(listed: DataFrame, cap: int, pivots: int, share: tuple[int, int]) -> DataFrame:
-    """Candidate pairs ``a, b, shared`` with a < b of similar size; ``shared`` counts small lists that have both.
+def _pairs(listed: DataFrame, cap: int, pivots: int, retained: int, share: tuple[int, int]) -> DataFrame:
+    """Candidate pairs ``a, b`` with a < b, of similar size and from different components ``c`` so far.
 
-    Lists of up to ``cap`` members give all their pairs, larger ones the pairs of each member with the pivots.
+    Lists of up to ``cap`` members give all their pairs, of which those stay that share enough; larger ones give the
+    pairs of each member with the pivots.
     """
     num, den = share
     alike = lambda m, n: den * F.least(m, n) >= num * F.greatest(m, n)  # noqa: E731  a bound on the similarity
     # A new key, so that the join above may still be split where one list is very long.
-    small = listed.where(F.col("size") <= cap).groupBy((F.col("v").bitwiseXOR(F.lit(1))).alias("v")).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
+    small = listed.where(F.col("size") <= cap).groupBy((F.col("v").bitwiseXOR(F.lit(1))).alias("v")).agg(F.array_sort(F.collect_list(F.struct("id", "n", "c", "hot"))).alias("m"))
     small = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    small = small.where(alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.n", "y.n").alias("m"), F.lit(1).alias("one"))
-    star = listed.where(F.col("size") > cap).select("id", "n", F.explode(F.array(*[F.struct(F.col(f"id{i}").alias("id"), F.col(f"n{i}").alias("n")) for i in range(pivots)])).alias("p"))
-    star = star.where((F.col("id") != F.col("p.id")) & alike(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.least("n", "p.n").alias("m"), F.lit(0).alias("one"))
-    return small.where("a <> b").union(star).groupBy("a", "b").agg(F.min("m").alias("m"), F.sum("one").alias("shared"), F.max(F.col("one") == 0).alias("long"))
+    small = small.where(alike(F.col("x.n"), F.col("y.n")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("y.id")))
+    counts = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.max(F.least("x.n", "y.n")).alias("m"), F.max(F.greatest("x.hot", "y.hot")).alias("hot"), F.count("*").alias("shared"))
+    # Of sets at the threshold, three of four of the smallest hashes are in both; a third of that is enough here, less
+    # those that lie in long lists, where they are not counted.
+    few = F.greatest(F.lit(1), F.least(F.lit(retained // 4), F.ceil(F.col("m") / 4)) - F.col("hot"))
+    out = counts.where(F.col("shared") >= few).select("a", "b")
+    for i in range(pivots):
+        met = listed.where((F.col("size") > cap) & (F.col("id") != F.col(f"id{i}")) & (F.col("c") != F.col(f"c{i}")) & alike(F.col("n"), F.col(f"n{i}")))
+        out = out.union(met.select(F.least("id", f"id{i}").alias("a"), F.greatest("id", f"id{i}").alias("b")))
+    return materialise(out.distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,7 +177,8 @@ def near_duplicates(
     sketch: int = 128,
     retained: int = 24,
     cap: int = 24,
-    pivots: int = 3,
+    pivots: int = 1,
+    deep_pivots: int = 6,
     slack: float = 0.2,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
@@ -175,8 +189,9 @@ def near_duplicates(
     rows and equal texts are one class, however many. An empty table stays empty; other columns are not looked at.
 
     Candidates: each class posts its ``retained`` smallest hashes. A list of up to ``cap`` classes gives all pairs. In
-    a longer one, each class meets ``pivots`` members chosen by hash, differently in each list, and also posts the
-    rest of its ``sketch``, so documents that merely share a frequent passage meet their own copies in short lists.
+    a longer one, each class meets ``pivots`` members chosen by hash. Classes with a third of their hashes in long
+    lists then post the rest of their ``sketch``, where documents that merely share a frequent passage meet their own
+    copies in short lists, and what is not joined yet meets ``deep_pivots`` other members in each long list.
     Pairs whose sizes rule the similarity out are dropped. The sketch of the union then estimates the similarity, and
     pairs within ``slack`` of the threshold (five standard deviations) or above are verified on full sets. A link
     between classes is missed only if chance puts it below that slack, or if its classes share retained hashes in
@@ -186,18 +201,20 @@ def near_duplicates(
     every = materialise(_sketched(docs, id_col, text_col, width, sketch))
     classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
     classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    short = classes.select(F.explode(F.slice("sketch", 1, retained)).alias("v"), "id", "n")
-    first = materialise(_listed(short, pivots))
-    hot = first.where(F.col("size") > cap).groupBy("id").agg(F.count("*").alias("hot"))
-    deep = narrowed_classes(classes, hot, retained, sketch)
-    found = _pairs(first, cap, pivots, similarity)
-    second = _pairs(materialise(_listed(deep, pivots)), cap, pivots, similarity)
-    pairs = found.union(second).groupBy("a", "b").agg(F.min("m").alias("m"), F.sum("shared").alias("shared"), F.max("long").alias("long"))
-    # Of sets at the threshold, three of four of the smallest hashes are in both; here a third of that is enough.
-    few = F.least(F.lit(retained // 4), F.ceil(F.col("m") / 4))
-    pairs = materialise(pairs.where(F.col("long") | (F.col("shared") >= few)).select("a", "b"))  # "long": some of what they share is not counted
-    pairs = materialise(_estimated(pairs, classes, sketch, num / den - slack))
-    links = _verified(pairs, docs, id_col, text_col, width, similarity)
+    def links_of(pairs: DataFrame) -> DataFrame:
+        likely = materialise(_estimated(pairs, classes, sketch, num / den - slack))
+        return materialise(_verified(likely, docs, id_col, text_col, width, similarity))
+
+    short = classes.select(F.explode(F.slice("sketch", 1, retained)).alias("v"), "id", "n", F.col("id").alias("c"))
+    first = _listed(short, pivots, cap, by_value=False)
+    links = links_of(_pairs(first, cap, pivots, retained, similarity))
+    # Classes with many hashes in long lists: what is not joined yet meets more of the others.
+    hot = materialise(first.where(F.col("hot") >= retained // 3).select("id").distinct())
+    so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
+    deep = narrowed(classes.select("id", "n", "sketch"), "id", hot, "id").join(so_far, "id")
+    deep = deep.select(F.explode(F.slice("sketch", retained + 1, sketch)).alias("v"), "id", "n", "c")
+    second = _listed(deep, deep_pivots, cap, by_value=True)
+    links = links.union(links_of(_pairs(second, cap, deep_pivots, retained, similarity)))
     joined = classes.select("d1", "d2", "id").join(components(links), "id", "left")
     joined = joined.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("component", "id").alias("__component"))
     out = every.drop("sketch").join(joined, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
@@ -205,13 +222,6 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def narrowed_classes(classes: DataFrame, hot: DataFrame, retained: int, sketch: int) -> DataFrame:
-    """Postings of the rest of the sketch, for classes that have a hash in a long list."""
-    hot = materialise(hot)
-    rows = narrowed(classes.select("id", "n", "sketch"), "id", hot, "id").join(hot.select("id"), "id", "left_semi")
-    return rows.select(F.explode(F.slice("sketch", retained + 1, sketch)).alias("v"), "id", "n")
-
-
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
     """Pairs whose estimate, the share of the union's ``k`` smallest hashes that both sets have, is at least ``least``."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -229,6 +239,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> Da
                 union = np.flatnonzero(start)[:k]
                 keep.append(twice[union].sum() >= least * len(union))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -249,5 +260,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
