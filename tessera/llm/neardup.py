@@ -1,9 +1,9 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 Documents with equal shingle sets are one class, and a class is looked at once. The smallest hashes of a class's
-shingles are its sketch; inverted lists of the very smallest give candidate pairs; the sketch of the union estimates
-their similarity; those that may reach the threshold are verified on full sets. Verified links are joined into
-components.
+shingles are its sketch; inverted lists of the very smallest give candidate pairs, long lists by comparing blocks of
+sketches; the sketch of the union estimates their similarity; those that may reach the threshold are verified on full
+sets. Verified links are joined into components.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bloom import narrowed
@@ -143,6 +143,89 @@ def _pairs(listed: DataFrame, cap: int, pivots: int, retained: int, share: tuple
     return materialise(out.distinct())
 
 
+def _common_least(n: Column, k: int, similarity: tuple[int, int], slack: float) -> Column:
+    """How many hashes of its sketch of ``k`` a set of ``n`` shares at least with any set it is linked to.
+
+    Where the sketches of all sets of a fitting size are whole, that is exact; else the estimate's bound.
+    """
+    num, den = similarity
+    whole = F.ceil(n * num / den)
+    return F.greatest(F.lit(1), F.when(n * den <= k * num, whole).otherwise(F.ceil(F.least(n, F.lit(k)) * (num / den - slack)))).cast("long")
+
+
+def _rarest(postings: DataFrame, k: int, least: Column, shared: int) -> DataFrame:
+    """Of ``postings(v, id, n, c)``, each class's rarest that suffice for two linked classes to meet in ``shared`` of
+    them, or in all that they must have in common; values of a single class are left out."""
+    sizes = postings.groupBy("v").agg(F.count("*").alias("f")).where("f >= 2")
+    own = Window.partitionBy("id")
+    rows = postings.join(sizes, "v").withColumns({"at": F.row_number().over(own.orderBy("f", "v")), "met": F.count("*").over(own)})
+    posted = F.least("n", F.lit(k))
+    return rows.where(posted - F.col("met") + F.col("at") <= posted - least + F.least(F.lit(shared), least)).select("v", "id", "n", "c")
+
+
+def _blocked(listed: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int], slack: float, block: int) -> DataFrame:
+    """Pairs ``a, b`` with a < b of ``listed(v, id, n, c)`` that are in one list, of different components and similar
+    size, and whose sketches share as many hashes as a link needs.
+
+    A list is cut into blocks by hash, and each pair of blocks is one group, however long the list is. The members of
+    a list's largest component are in blocks of their own, which do not meet each other.
+    """
+    num, den = similarity
+    lists = listed.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v")
+    lists = materialise(lists.agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("all > most.m").selectExpr("v", "most.c as big", f"ceil(most.m / {block}) as nb", f"ceil((all - most.m) / {block}) as nr"))
+    rows = listed.join(lists, "v").withColumn("large", F.col("c") == F.col("big"))
+    rows = rows.withColumn("at", F.when(F.col("large"), F.col("nr")).otherwise(F.lit(0)) + F.pmod(F.xxhash64("id", "v"), F.when(F.col("large"), F.col("nb")).otherwise(F.col("nr"))))
+    rows = rows.withColumn("need", _common_least(F.col("n"), k, similarity, slack))
+    ids = materialise(rows.select("id").distinct())
+    rows = rows.join(materialise(narrowed(classes.select("id", "sketch"), "id", ids, "id")), "id")
+    # The others' blocks meet all blocks, those of the largest component only the others'.
+    last = F.when(F.col("large"), F.col("nr")).otherwise(F.col("nr") + F.col("nb")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.select("v", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "id", "n", "c", "need", "sketch")
+
+    def run(group: pa.Table) -> pa.Table:
+        at, x, ids, n, c, need = (group.column(name).to_numpy() for name in ("at", "x", "id", "n", "c", "need"))
+        same = x[0] == group.column("y")[0].as_py()
+        left = np.flatnonzero(at == x[0])
+        right = left if same else np.flatnonzero(at != x[0])
+        common = shared_counts(group.column("sketch"), left, right)
+        i, j = np.nonzero(common >= np.maximum(need[left][:, None], need[right][None, :]))
+        i, j = left[i], right[j]
+        keep = (c[i] != c[j]) & (ids[i] != ids[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+        if same:
+            keep &= i < j
+        i, j = ids[i[keep]], ids[j[keep]]
+        return pa.table({"a": pa.array(np.minimum(i, j), pa.int64()), "b": pa.array(np.maximum(i, j), pa.int64())})
+
+    return materialise(rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long").distinct())
+
+
+def shared_counts(sketches: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many hashes each row of ``left`` shares with each of ``right``, both places in ``sketches``."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    lists = sketches.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    code = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    place = [np.full(len(lists), -1), np.full(len(lists), -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    met = np.ones(code.max(initial=-1) + 1, dtype=bool)
+    for p in place:
+        met &= np.bincount(code[p[row] >= 0], minlength=len(met)) > 0
+    code, row = (np.cumsum(met) - 1)[code[met[code]]], row[met[code]]
+    for start in range(0, int(met.sum()), width):
+        within = (code >= start) & (code < start + width)
+        r, v = row[within], code[within] - start
+        sides = []
+        for p, size in zip(place, out.shape):
+            m = np.zeros((size, width), dtype=np.float32)
+            has = p[r] >= 0
+            m[p[r[has]], v[has]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component``: the smallest id that each id of ``edges(a, b)`` reaches.
 
@@ -180,6 +263,7 @@ def near_duplicates(
     pivots: int = 1,
     deep_pivots: int = 6,
     slack: float = 0.2,
+    block: int = 512,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -189,13 +273,14 @@ def near_duplicates(
     rows and equal texts are one class, however many. An empty table stays empty; other columns are not looked at.
 
     Candidates: each class posts its ``retained`` smallest hashes. A list of up to ``cap`` classes gives all pairs. In
-    a longer one, each class meets ``pivots`` members chosen by hash. Classes with a third of their hashes in long
-    lists then post the rest of their ``sketch``, where documents that merely share a frequent passage meet their own
-    copies in short lists, and what is not joined yet meets ``deep_pivots`` other members in each long list.
+    a longer one, each class meets ``pivots`` members chosen by hash. Classes with so many of their hashes in long
+    lists that a link may have shown in these alone then post of their whole ``sketch`` the rarest hashes, enough for
+    any two linked ones to meet. Again short lists give all pairs and long ones those with ``deep_pivots`` members;
+    at last, whatever is in one long list and not joined yet is compared, sketch by sketch, in pairs of blocks of
+    about ``block`` classes. No list is cut.
     Pairs whose sizes rule the similarity out are dropped. The sketch of the union then estimates the similarity, and
     pairs within ``slack`` of the threshold (five standard deviations) or above are verified on full sets. A link
-    between classes is missed only if chance puts it below that slack, or if its classes share retained hashes in
-    long lists alone and no pivot leads from one to the other.
+    between classes is missed only if chance puts their sketches' agreement that far below the truth.
     """
     num, den = similarity
     every = materialise(_sketched(docs, id_col, text_col, width, sketch))
@@ -208,13 +293,22 @@ def near_duplicates(
     short = classes.select(F.explode(F.slice("sketch", 1, retained)).alias("v"), "id", "n", F.col("id").alias("c"))
     first = _listed(short, pivots, cap, by_value=False)
     links = links_of(_pairs(first, cap, pivots, retained, similarity))
-    # Classes with many hashes in long lists: what is not joined yet meets more of the others.
-    hot = materialise(first.where(F.col("hot") >= retained // 3).select("id").distinct())
-    so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
-    deep = narrowed(classes.select("id", "n", "sketch"), "id", hot, "id").join(so_far, "id")
-    deep = deep.select(F.explode(F.slice("sketch", retained + 1, sketch)).alias("v"), "id", "n", "c")
-    second = _listed(deep, deep_pivots, cap, by_value=True)
-    links = links.union(links_of(_pairs(second, cap, deep_pivots, retained, similarity)))
+    # Linked classes share a quarter of their retained hashes at least. Where those may all lie in long lists, more is
+    # looked at.
+    quarter = F.greatest(F.lit(1), F.least(F.lit(retained // 4), F.ceil(F.col("n") * num / (4 * den))))
+    hot = materialise(first.where(F.col("hot") >= quarter).select("id").distinct())
+    if hot.take(1):
+        so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
+        deep = narrowed(classes.select("id", "n", "sketch"), "id", hot, "id").join(so_far, "id")
+        deep = deep.select(F.explode("sketch").alias("v"), "id", "n", "c")
+        rare = materialise(_rarest(deep, sketch, _common_least(F.col("n"), sketch, similarity, slack), retained // 4))
+        second = _listed(rare, deep_pivots, cap, by_value=True)
+        links = materialise(links.union(links_of(_pairs(second, cap, deep_pivots, retained, similarity))))
+        long = second.where(F.col("size") > cap).select("v", "id", "n")
+        if long.take(1):
+            so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
+            long = materialise(long.join(so_far, "id"))
+            links = links.union(links_of(_blocked(long, classes, sketch, similarity, slack, block)))
     joined = classes.select("d1", "d2", "id").join(components(links), "id", "left")
     joined = joined.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("component", "id").alias("__component"))
     out = every.drop("sketch").join(joined, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")

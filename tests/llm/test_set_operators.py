@@ -60,6 +60,21 @@ def test_near_duplicates_like_brute_force(spark, cap):
     assert all(r["kept"] == (i == r["component_id"]) and r["n_shingles"] == len(shingles(dict(rows)[i])) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_near_duplicates_of_texts_made_of_frequent_lines(spark, block):
+    # Every line is in 46 texts or more; a text and its reverse are at the threshold and share frequent lines alone.
+    rng = random.Random(3)
+    lines = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=16)) for _ in range(24)]
+    short = [" ".join(rng.choices([f"s{i}" for i in range(5000)], k=9)) for _ in range(12)]
+    texts = [f"{a} {b}" for a in lines for b in lines if a != b] + [" ".join(x) for x in ((a, b, c) for a in short[:8] for b in short for c in short[:6]) if len(set(x)) == 3]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 250 < len(set(want.values())) < len(rows) - 250
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **({"block": block} if block != 512 else {})).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_duplicates_edges(spark, odd_docs, empty):
     got = neardup.near_duplicates(odd_docs).collect()
     by = {r["doc_id"]: r for r in got}
