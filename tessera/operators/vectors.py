@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -87,24 +88,37 @@ def top_k(
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", id_col: str = "id", vec_col: str = "values", block: int = 4096) -> DataFrame:
     """``query_id, rank, id, score`` of each query ``(query_id, values)``, ranks from 1.
 
-    The queries, of a checked size, go to every task; a task multiplies blocks of vectors with them and keeps ``k``
-    rows a query. Larger query sets are to be given in parts.
+    The queries go to every task, in parts of at most ``QUERY_BOUND`` components; a task multiplies blocks of vectors
+    with them and keeps ``k`` rows a query. Each part is one more pass over the vectors.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     kind = vectors.schema[id_col].dataType.simpleString()
     asked = queries.select("query_id", F.col("values").cast("array<double>").alias("values"))
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("values")), F.lit(0)).alias("d"), F.min(F.size("values")).alias("least")).first()
-    if size["n"] * size["d"] > QUERY_BOUND:
-        raise ValueError("too many queries for one batch")
     if size["n"] and size["least"] != size["d"]:
         raise ValueError("queries must have one dimension")
     qid = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid}, id {kind}, score double"
     if not size["n"] or not k:
         return vectors.sparkSession.createDataFrame([], f"query_id {qid}, rank int, id {kind}, score double")
-    got = asked.toPandas()
-    q, names, dims = np.array(got["values"].tolist(), dtype=np.float64), got["query_id"].to_numpy(), size["d"]
+    dims, most = size["d"], max(1, QUERY_BOUND // max(1, size["d"]))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    parts, held = [], []
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == most:
+            parts, held = [*parts, _best(rows, held, k, metric, dims, block, schema)], []
+    if held:
+        parts.append(_best(rows, held, k, metric, dims, block, schema))
+    found = reduce(DataFrame.union, parts)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def _best(rows: DataFrame, part: list, k: int, metric: str, dims: int, block: int, schema: str) -> DataFrame:
+    """Each task's ``k`` best of ``rows(id, v)`` for each query of ``part``."""
+    q, names = np.array([r["values"] for r in part], dtype=np.float64), pd.Series([r["query_id"] for r in part]).to_numpy()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
@@ -123,9 +137,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric:
         if best is not None:
             yield best
 
-    found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInPandas(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return rows.mapInPandas(run, schema)
 
 
 def delete(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.config import IvfConfig
 from tessera.functions import metrics
 from tessera.operators import ivf, vectors
+from tessera.plans import fixtures
 
 ROWS = "id long, values array<double>, metadata string, seq long"
 
@@ -93,3 +94,13 @@ def test_lloyd_matches_numpy(spark):
     c = ivf.seeds(df, 4, IvfConfig().seed)
     cell = ivf.nearest("l2", v, c)[:, 0]
     assert np.allclose(index.centroids, [v[cell == i].mean(0) if (cell == i).any() else c[i] for i in range(4)])
+
+
+def test_more_queries_than_one_part_holds(spark, small, monkeypatch):
+    df = fixtures.vectors(spark, small)
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("query_id"), "values")
+    whole = {tuple(r) for r in vectors.top_k_batch(df, queries, 5).collect()}
+    monkeypatch.setattr(vectors, "QUERY_BOUND", 64 * 10)
+    got = vectors.top_k_batch(df, queries, 5).collect()
+    assert len(got) == 5 * queries.count() == 125
+    assert {(r["query_id"], r["rank"], r["id"]) for r in got} == {r[:3] for r in whole}
