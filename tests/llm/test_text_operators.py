@@ -137,6 +137,16 @@ def test_pseudonyms(spark, odd_docs, empty):
     assert odd.count() == 9 and odd.where("n_pseudonyms > 0").count() == 0 and odd.where("text is null").count() == 1 and pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    rows = [(n, "token=" + "aB3" * n + " end") for n in (60, 100, 5000)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for (n, old), r in zip(rows, got):
+        assert len(r["text"]) == len(old) and r["n_pseudonyms"] == 1 and r["text"].startswith("token=") and r["text"].endswith(" end")
+        # Letters and digits that stay are chance: 1 of 26 or 1 of 10.
+        tail = [a == b for a, b in zip(r["text"][-94:-4], old[-94:-4])]
+        assert sum(tail) < 30
+
+
 def test_pseudonyms_are_a_permutation(spark):
     every = spark.range(1000).select(F.array((F.col("id") / 100).cast("long"), (F.col("id") % 100 / 10).cast("long"), F.col("id") % 10).alias("v"))
     assert every.select(pii.feistel(F.col("v"), F.array(*[F.lit(10).cast("long")] * 3), "k", "t").alias("x")).distinct().count() == 1000
