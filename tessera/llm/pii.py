@@ -107,11 +107,25 @@ def _card(s: Column, key: str) -> Column:
         n = F.size(d)
         middle = F.slice(d, F.lit(2), n - 2)
         new = F.concat(F.slice(d, 1, 1), feistel(middle, F.transform(middle, lambda _: F.lit(10).cast("long")), key, "card"))
-        return F.when(F.pmod(_luhn(d), F.lit(10)) == 0, _laid_out(s, _let(new, lambda x: F.concat(x, F.array(F.pmod(-_luhn(F.concat(x, _longs(0))), F.lit(10))))))).otherwise(s)
+        return _laid_out(s, _let(new, lambda x: F.concat(x, F.array(F.pmod(-_luhn(F.concat(x, _longs(0))), F.lit(10))))))
 
     return _let(_digits(s), moved)
 
 
+def _cards(s: Column, key: str) -> Column:
+    """The longest, first run of whole digit groups that is a valid card is replaced; groups beside it stay."""
+    valid = lambda d: F.size(d).between(13, 19) & (F.pmod(_luhn(d), F.lit(10)) == 0)
+    groups = F.split(s, "[ -]", -1)
+    upto = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i), " "))
+    start = lambda i: F.when(i == 0, 0).otherwise(upto(i) + 1)
+    span = lambda i, j: F.struct((start(i) - upto(j)).alias("shorter"), start(i).alias("at"), F.substring(s, start(i) + 1, upto(j) - start(i)).alias("card"))
+    places = F.sequence(F.lit(0), F.size(groups) - 1)
+    spans = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(i + 1, F.size(groups)), lambda j: span(i, j))))
+    fit = F.sort_array(F.filter(spans, lambda x: valid(_digits(x["card"]))))
+    part = lambda x: F.concat(F.substring(s, F.lit(1), x["at"]), _card(x["card"], key), F.substring(s, x["at"] + F.length(x["card"]) + 1, F.length(s)))
+    return F.when(valid(_digits(s)), _card(s, key)).when(F.size(groups) > 1, F.coalesce(_let(F.get(fit, F.lit(0)), lambda x: F.when(x.isNotNull(), part(x))), s)).otherwise(s)
+
+
 def _ipv4(s: Column, key: str) -> Column:
     octets = F.transform(F.split(s, r"\."), lambda x: x.cast("long"))
     return F.when(F.forall(octets, lambda x: x < 256), F.array_join(feistel(octets, _longs(256, 256, 256, 256), key, "ipv4"), ".")).otherwise(s)
@@ -189,7 +203,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(full(KINDS["date"]), _date(value, key))
         .when(full(SSN), _ssn(value, key))
         .when(full(IBAN), _iban(value, key))
-        .when(full(CARD), _card(value, key))
+        .when(full(CARD), _cards(value, key))
         .when(full(PHONE), _phone(value, key))
         .otherwise(value)
     )

@@ -147,6 +147,15 @@ def test_long_secrets_are_replaced_whole(spark):
         assert sum(tail) < 30
 
 
+def test_cards_beside_short_numbers(spark):
+    texts = ["4111111111111111 123", "4111111111111111 12/27", "4111 1111 1111 1111 123", "12 4111-1111-1111-1111", "4111111111111111", "4111111111111112 123"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    card = got[4]
+    spelled = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    assert card != texts[4]
+    assert got == [f"{card} 123", f"{card} 12/27", f"{spelled} 123", "12 " + spelled.replace(" ", "-"), card, texts[5]]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     every = spark.range(1000).select(F.array((F.col("id") / 100).cast("long"), (F.col("id") % 100 / 10).cast("long"), F.col("id") % 10).alias("v"))
     assert every.select(pii.feistel(F.col("v"), F.array(*[F.lit(10).cast("long")] * 3), "k", "t").alias("x")).distinct().count() == 1000
