@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Have Spark hand Python workers at most ``mb`` MB of rows at a time in this session, long texts or short."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Have Spark hand Python workers at most ``mb`` MB of rows at a time, long texts or short.
+
+    It holds for the session, as queries run after they are made; a bound that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):  # Spark's default
+        spark.conf.set(name, str(mb << 20))
 
 
 def release() -> None:
@@ -38,37 +45,70 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset, one for this driver."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as every executor would
+    write to a disk of its own.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(at) if at_exit else store.delete(at, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the driver's file system closes.
+    The files go with ``discard``, or when the driver's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(name)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
+    _delete(spark, path, at_exit=True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``materialise`` that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._materialised_at)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def remainder(doc_id: Column, n: int) -> Column:

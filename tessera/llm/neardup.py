@@ -1,13 +1,16 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 Documents with equal shingle sets are one class, and a class is looked at once. The smallest hashes of a class's
-shingles are its sketch; inverted lists of the very smallest give candidate pairs, long lists by comparing blocks of
-sketches; the sketch of the union estimates their similarity; those that may reach the threshold are verified on full
-sets. Verified links are joined into components.
+shingles are its sketch. A class retains the rarest of its sketch, enough for any two linked classes to have one in
+common; the inverted lists of retained hashes give candidate pairs. The sketch of the union estimates a pair's
+similarity, and those that may reach the threshold are verified on full sets. Verified links are joined into
+components. No list gives all its pairs as rows: each meets single members first, and what is left unjoined is
+compared inside tasks, block by block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bloom import narrowed
-from tessera.llm.common import materialise, release
+from tessera.llm.bloom import build_bloom, may_hold, narrowed
+from tessera.llm.common import discard, materialise, release, spare
 
 WIDTH = 5
 #: Odd multipliers for the places of a shingle, and a finaliser's.
@@ -71,133 +74,155 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH, chunk: int = 1 << 20) -> I
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sketch``: a digest of the set in two longs, and its ``k`` smallest hashes."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    """``doc_id, text_hash, n_shingles, d1, d2, sketch``: a digest of the set in two longs, its ``k`` smallest hashes."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, sketch = [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(2), width):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
                 n.append(len(s)), d1.append(int(digest[0])), d2.append(int(digest[1])), sketch.append(s[:k].view(np.int64).copy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip((n, d1, d2, sketch), kinds[1:])]], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+            made = [pa.array(c, t) for c, t in zip((n, d1, d2, sketch), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sketch"])
         release()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
-def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``doc_id, shingles``: the whole set as bytes, for exact comparison."""
+def _members(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+    """``id, d1, d2, n, sketch, whole``: the ``k`` smallest hashes, and the whole set as bytes where it has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "n": pa.int64(), "sketch": pa.list_(pa.int64()), "whole": pa.binary()}
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
         for batch in batches:
-            ids, sets, held = [], [], 0
+            rows, held = [], 0
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                ids.append(i), sets.append(s.tobytes())
-                held += len(sets[-1])
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
-                    ids, sets, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                whole = s.tobytes()
+                d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(whole), dtype=np.int64).tolist()
+                rows.append((i, d1, d2, len(s), s[:k].view(np.int64).copy(), whole if len(s) > k else None))
+                held += s.nbytes
+                if held > 1 << 23:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
         release()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, shingles binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, d1 long, d2 long, n long, sketch array<long>, whole binary")
 
 
-def _listed(postings: DataFrame, pivots: int, cap: int, by_value: bool) -> DataFrame:
-    """``postings(v, id, n, c)`` of values that two classes or more retain, with the list's size, its pivots and
-    ``hot``, the number of lists longer than ``cap`` that the class is in.
+def _common_least(n: Column, k: int, similarity: tuple[int, int], deviations: float) -> Column:
+    """How many hashes of its sketch of ``k`` a set of ``n`` shares at least with the sketch of a set linked to it.
 
-    A pivot is the member whose hash is smallest: the same in all lists of the same members, or, by value, another
-    in each.
+    Where the union of the two fits in ``k``, all that they share is in both. Else the union's ``k`` smallest are a
+    sample of it without replacement, and the bound is ``deviations`` standard deviations below the mean.
     """
-    h = [F.xxhash64("id", *(["v"] if by_value else []), F.lit(i)) for i in range(pivots)]
-    lists = postings.groupBy("v").agg(F.count("*").alias("size"), *[F.min_by(k, h[i]).alias(f"{k}{i}") for i in range(pivots) for k in ("id", "n", "c")])
-    listed = materialise(postings.join(lists.where("size >= 2"), "v"))
-    long = listed.where(F.col("size") > cap).groupBy("id").agg(F.count("*").alias("hot"))
-    return materialise(listed.join(long, "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0))))
+    num, den = similarity
+    j, union = num / den, n * den / num
+    spread = F.sqrt(F.lit(k * j * (1 - j)) * F.greatest(F.lit(0.0), union - k) / F.greatest(F.lit(1.0), union - 1))
+    return F.greatest(F.lit(1), F.least(F.ceil(n * num / den), F.ceil(F.lit(k * j) - deviations * spread))).cast("long")
 
 
-def _pairs(listed: DataFrame, cap: int, pivots: int, retained: int, share: tuple[int, int]) -> DataFrame:
-    """Candidate pairs ``a, b`` with a < b, of similar size and from different components ``c`` so far.
+def _listed(classes: DataFrame, k: int, similarity: tuple[int, int], deviations: float) -> DataFrame:
+    """``v, id, n``: inverted lists of two classes or more of the hashes that the classes retain.
 
-    Lists of up to ``cap`` members give all their pairs, of which those stay that share enough; larger ones give the
-    pairs of each member with the pivots.
-    """
-    num, den = share
-    alike = lambda m, n: den * F.least(m, n) >= num * F.greatest(m, n)  # noqa: E731  a bound on the similarity
-    # A new key, so that the join above may still be split where one list is very long.
-    small = listed.where(F.col("size") <= cap).groupBy((F.col("v").bitwiseXOR(F.lit(1))).alias("v")).agg(F.array_sort(F.collect_list(F.struct("id", "n", "c", "hot"))).alias("m"))
-    small = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    small = small.where(alike(F.col("x.n"), F.col("y.n")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("y.id")))
-    counts = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.max(F.least("x.n", "y.n")).alias("m"), F.max(F.greatest("x.hot", "y.hot")).alias("hot"), F.count("*").alias("shared"))
-    # Of sets at the threshold, three of four of the smallest hashes are in both; a third of that is enough here, less
-    # those that lie in long lists, where they are not counted.
-    few = F.greatest(F.lit(1), F.least(F.lit(retained // 4), F.ceil(F.col("m") / 4)) - F.col("hot"))
-    out = counts.where(F.col("shared") >= few).select("a", "b")
-    for i in range(pivots):
-        met = listed.where((F.col("size") > cap) & (F.col("id") != F.col(f"id{i}")) & (F.col("c") != F.col(f"c{i}")) & alike(F.col("n"), F.col(f"n{i}")))
-        out = out.union(met.select(F.least("id", f"id{i}").alias("a"), F.greatest("id", f"id{i}").alias("b")))
-    return materialise(out.distinct())
-
-
-def _common_least(n: Column, k: int, similarity: tuple[int, int], slack: float) -> Column:
-    """How many hashes of its sketch of ``k`` a set of ``n`` shares at least with any set it is linked to.
-
-    Where the sketches of all sets of a fitting size are whole, that is exact; else the estimate's bound.
+    A class retains of its sketch the hashes that are rarest among all classes, so many that it lacks fewer than it
+    shares with any class linked to it: two linked classes both retain the rarest of what they share. Of lists with the
+    same members one stays.
     """
-    num, den = similarity
-    whole = F.ceil(n * num / den)
-    return F.greatest(F.lit(1), F.when(n * den <= k * num, whole).otherwise(F.ceil(F.least(n, F.lit(k)) * (num / den - slack)))).cast("long")
-
-
-def _rarest(postings: DataFrame, k: int, least: Column, shared: int) -> DataFrame:
-    """Of ``postings(v, id, n, c)``, each class's rarest that suffice for two linked classes to meet in ``shared`` of
-    them, or in all that they must have in common; values of a single class are left out."""
+    postings = classes.select(F.explode("sketch").alias("v"), "id", "n")
     sizes = postings.groupBy("v").agg(F.count("*").alias("f")).where("f >= 2")
     own = Window.partitionBy("id")
     rows = postings.join(sizes, "v").withColumns({"at": F.row_number().over(own.orderBy("f", "v")), "met": F.count("*").over(own)})
-    posted = F.least("n", F.lit(k))
-    return rows.where(posted - F.col("met") + F.col("at") <= posted - least + F.least(F.lit(shared), least)).select("v", "id", "n", "c")
+    # Hashes of a single class come first in the order and are in no list.
+    alone = F.least("n", F.lit(k)) - F.col("met")
+    rare = materialise(rows.where(alone + F.col("at") <= F.least("n", F.lit(k)) - _common_least(F.col("n"), k, similarity, deviations) + 1).select("v", "id", "n"))
+    member = F.xxhash64("id", F.lit(1)).cast("decimal(38)")
+    lists = rare.groupBy("v").agg(F.count("*").alias("size"), F.sum(member).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x")).where("size >= 2")
+    lists = lists.groupBy("size", "s", "x").agg(F.min("v").alias("v"))
+    out = materialise(rare.join(lists.select("v"), "v"))
+    discard(rare)
+    return out
+
+
+def _alike(m: Column, n: Column, similarity: tuple[int, int]) -> Column:
+    """Whether sets of ``m`` and ``n`` may be linked at all."""
+    return similarity[1] * F.least(m, n) >= similarity[0] * F.greatest(m, n)
+
+
+def _stars(listed: DataFrame, pivots: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs ``a, b, ca, cb`` of each member of a list in ``listed(v, id, n, c)`` with one chosen by hash.
+
+    There are ``pivots`` orders to choose by, one for each list, so that lists with much the same members mostly choose
+    the same ones, and a class meets a few.
+    """
+    key = F.xxhash64("id", F.pmod("v", F.lit(pivots)))
+    lists = listed.groupBy("v").agg(F.min_by(F.struct("id", "n", "c"), key).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
+    met = listed.join(lists.where("low <> high").select("v", "p"), "v").where((F.col("c") != F.col("p.c")) & _alike(F.col("n"), F.col("p.n"), similarity))
+    first = F.col("id") < F.col("p.id")
+    one, two = F.struct("id", "c"), F.struct("p.id", "p.c")
+    pairs = met.select(F.when(first, one).otherwise(two).alias("x"), F.when(first, two).otherwise(one).alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
 
 
-def _blocked(listed: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int], slack: float, block: int) -> DataFrame:
-    """Pairs ``a, b`` with a < b of ``listed(v, id, n, c)`` that are in one list, of different components and similar
-    size, and whose sketches share as many hashes as a link needs.
+def _blocked(listed: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float, block: int) -> DataFrame:
+    """Pairs ``a, b, ca, cb, sure`` of ``listed(v, id, n, c)`` that are in one list and different components.
 
+    The rest of what lists may hold: all pairs are compared, sketch by sketch, inside tasks, and only links come out.
     A list is cut into blocks by hash, and each pair of blocks is one group, however long the list is. The members of
-    a list's largest component are in blocks of their own, which do not meet each other.
+    a list's largest component are in blocks of their own, which do not meet each other. Pairs whose sketches are their
+    whole sets are ``sure``, and of these a group gives only those that join what it had not joined yet.
     """
     num, den = similarity
     lists = listed.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v")
-    lists = materialise(lists.agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("all > most.m").selectExpr("v", "most.c as big", f"ceil(most.m / {block}) as nb", f"ceil((all - most.m) / {block}) as nr"))
+    lists = lists.agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("all > most.m and all > 2")
+    lists = lists.selectExpr("v", "most.c as big", f"ceil(most.m / {block}) as nb", f"ceil((all - most.m) / {block}) as nr")
     rows = listed.join(lists, "v").withColumn("large", F.col("c") == F.col("big"))
     rows = rows.withColumn("at", F.when(F.col("large"), F.col("nr")).otherwise(F.lit(0)) + F.pmod(F.xxhash64("id", "v"), F.when(F.col("large"), F.col("nb")).otherwise(F.col("nr"))))
-    rows = rows.withColumn("need", _common_least(F.col("n"), k, similarity, slack))
-    ids = materialise(rows.select("id").distinct())
-    rows = rows.join(materialise(narrowed(classes.select("id", "sketch"), "id", ids, "id")), "id")
+    rows = rows.withColumn("least", _common_least(F.col("n"), k, similarity, deviations))
     # The others' blocks meet all blocks, those of the largest component only the others'.
     last = F.when(F.col("large"), F.col("nr")).otherwise(F.col("nr") + F.col("nb")) - 1
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.select("v", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "id", "n", "c", "need", "sketch")
+    rows = rows.join(members.select("id", "n", "sketch"), ["id", "n"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.select("v", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "id", "n", "c", "least", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        at, x, ids, n, c, need = (group.column(name).to_numpy() for name in ("at", "x", "id", "n", "c", "need"))
+        at, x, ids, n, c, least = (group.column(name).to_numpy() for name in ("at", "x", "id", "n", "c", "least"))
         same = x[0] == group.column("y")[0].as_py()
         left = np.flatnonzero(at == x[0])
         right = left if same else np.flatnonzero(at != x[0])
         common = shared_counts(group.column("sketch"), left, right)
-        i, j = np.nonzero(common >= np.maximum(need[left][:, None], need[right][None, :]))
+        m, o = n[left][:, None], n[right][None, :]
+        sure = (m <= k) & (o <= k)
+        keep = np.where(sure, den * common >= num * (m + o - common), common >= np.maximum(least[left][:, None], least[right][None, :]))
+        keep &= (c[left][:, None] != c[right][None, :]) & (den * np.minimum(m, o) >= num * np.maximum(m, o))
+        i, j = np.nonzero(keep)
+        sure = sure[i, j]
         i, j = left[i], right[j]
-        keep = (c[i] != c[j]) & (ids[i] != ids[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-        if same:
-            keep &= i < j
-        i, j = ids[i[keep]], ids[j[keep]]
-        return pa.table({"a": pa.array(np.minimum(i, j), pa.int64()), "b": pa.array(np.maximum(i, j), pa.int64())})
+        up: dict[int, int] = {}
 
-    return materialise(rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long").distinct())
+        def root(u: int) -> int:
+            while (w := up.get(u, u)) != u:
+                up[u] = up.get(w, w)
+                u = w
+            return u
+
+        chosen = np.zeros(len(i), dtype=bool)
+        for e in np.argsort(~sure, kind="stable"):
+            p, q = root(int(c[i[e]])), root(int(c[j[e]]))
+            chosen[e] = p != q
+            if p != q and sure[e]:
+                up[p] = q
+        i, j, sure = i[chosen], j[chosen], sure[chosen]
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.table({"a": ids[i], "b": ids[j], "ca": c[i], "cb": c[j], "sure": pa.array(sure, pa.bool_())})
+
+    return rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long, ca long, cb long, sure boolean").distinct()
 
 
 def shared_counts(sketches: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -250,6 +275,43 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels(id, c)`` once the components ``c`` that ``edges(a, b)`` joins are one."""
+    over = components(edges).toDF("c", "__to")
+    out = materialise(labels.join(over, "c", "left").select("id", F.coalesce("__to", "c").alias("c")))
+    discard(labels)
+    return out
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int], retained: int, sketch: int, deviations: float, pivots: tuple[int, ...], block: int) -> DataFrame:
+    """The rows of ``_sketched`` without sketches, with their ``component_id`` and ``kept``."""
+    every = materialise(_sketched(docs, id_col, text_col, width, retained))
+    classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
+    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    listed = _listed(classes, retained, similarity, deviations)
+    labels = materialise(listed.select("id").distinct().withColumn("c", F.col("id")))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    wanted = classes.select("id", "d1", "d2").join(labels.select("id"), "id", "left_semi")
+    members = _members(narrowed(rows, "__id", labels, "id"), "__id", "__text", width, sketch)
+    members = materialise(members.join(wanted, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"))
+    for n in pivots:
+        now = listed.join(labels, "id")
+        pairs = materialise(_stars(now, n, similarity))
+        links = _linked(pairs, members, sketch, similarity, deviations)
+        labels = _merged(labels, links)
+        discard(pairs, links)
+    pairs = materialise(_blocked(listed.join(labels, "id"), members, sketch, similarity, deviations, block))
+    links = _linked(pairs, members, sketch, similarity, deviations)
+    labels = _merged(labels, links)
+    discard(pairs, links, listed, members)
+    joined = materialise(classes.select("d1", "d2", "id").join(labels, "id", "left").select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("c", "id").alias("__component")))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("__component", "doc_id")).otherwise(F.col("doc_id"))
+    out = every.drop("sketch").join(joined, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left").withColumn("component_id", component)
+    out = materialise(out.select("doc_id", "text_hash", "n_shingles", "d1", "d2", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    discard(every, classes, labels, joined)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -257,103 +319,119 @@ def near_duplicates(
     text_col: str = "text",
     width: int = WIDTH,
     similarity: tuple[int, int] = (3, 4),
-    sketch: int = 128,
-    retained: int = 24,
-    cap: int = 24,
-    pivots: int = 1,
-    deep_pivots: int = 6,
-    slack: float = 0.2,
-    block: int = 512,
+    retained: int = 64,
+    sketch: int = 512,
+    deviations: float = 5.0,
+    pivots: tuple[int, ...] = (1, 8),
+    block: int = 1024,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least ``similarity`` (a fraction of
     two integers); ``component_id`` is the smallest id reachable over links, and ``kept`` tells that it is the row's
-    own. A null, empty or blank text has no shingles and no links; a null id never becomes a component's. Repeated
-    rows and equal texts are one class, however many. An empty table stays empty; other columns are not looked at.
-
-    Candidates: each class posts its ``retained`` smallest hashes. A list of up to ``cap`` classes gives all pairs. In
-    a longer one, each class meets ``pivots`` members chosen by hash. Classes with so many of their hashes in long
-    lists that a link may have shown in these alone then post of their whole ``sketch`` the rarest hashes, enough for
-    any two linked ones to meet. Again short lists give all pairs and long ones those with ``deep_pivots`` members;
-    at last, whatever is in one long list and not joined yet is compared, sketch by sketch, in pairs of blocks of
-    about ``block`` classes. No list is cut.
-    Pairs whose sizes rule the similarity out are dropped. The sketch of the union then estimates the similarity, and
-    pairs within ``slack`` of the threshold (five standard deviations) or above are verified on full sets. A link
-    between classes is missed only if chance puts their sketches' agreement that far below the truth.
+    own. A null, empty or blank text has no shingles and no links. A row of null id never gives a component its id:
+    its component is that of its equal texts with an id, else null. Repeated rows and equal texts are one class,
+    however many; texts that share an id share its component. An empty table stays empty; other columns are not
+    looked at.
+
+    Candidates: of the ``retained`` smallest hashes of its set each class posts the rarest, enough for any two linked
+    classes to meet in a list. In each list the members meet one chosen member, once for each of ``pivots``; then all
+    members of a list that are not joined yet are compared, sketch by sketch, in pairs of blocks of about ``block``.
+    No list is cut, and no pair in a list is passed over but those that are in one component already.
+    The union's ``sketch`` smallest hashes estimate the similarity, and what may reach the threshold is verified on
+    whole sets. A link between classes is missed only if chance puts what their sketches share ``deviations`` standard
+    deviations below its mean; for sets of up to three quarters of ``retained`` nothing is left to chance.
     """
-    num, den = similarity
-    every = materialise(_sketched(docs, id_col, text_col, width, sketch))
-    classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
-    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    def links_of(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_estimated(pairs, classes, sketch, num / den - slack))
-        return materialise(_verified(likely, docs, id_col, text_col, width, similarity))
-
-    short = classes.select(F.explode(F.slice("sketch", 1, retained)).alias("v"), "id", "n", F.col("id").alias("c"))
-    first = _listed(short, pivots, cap, by_value=False)
-    links = links_of(_pairs(first, cap, pivots, retained, similarity))
-    # Linked classes share a quarter of their retained hashes at least. Where those may all lie in long lists, more is
-    # looked at.
-    quarter = F.greatest(F.lit(1), F.least(F.lit(retained // 4), F.ceil(F.col("n") * num / (4 * den))))
-    hot = materialise(first.where(F.col("hot") >= quarter).select("id").distinct())
-    if hot.take(1):
-        so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
-        deep = narrowed(classes.select("id", "n", "sketch"), "id", hot, "id").join(so_far, "id")
-        deep = deep.select(F.explode("sketch").alias("v"), "id", "n", "c")
-        rare = materialise(_rarest(deep, sketch, _common_least(F.col("n"), sketch, similarity, slack), retained // 4))
-        second = _listed(rare, deep_pivots, cap, by_value=True)
-        links = materialise(links.union(links_of(_pairs(second, cap, deep_pivots, retained, similarity))))
-        long = second.where(F.col("size") > cap).select("v", "id", "n")
-        if long.take(1):
-            so_far = materialise(hot.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
-            long = materialise(long.join(so_far, "id"))
-            links = links.union(links_of(_blocked(long, classes, sketch, similarity, slack, block)))
-    joined = classes.select("d1", "d2", "id").join(components(links), "id", "left")
-    joined = joined.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("component", "id").alias("__component"))
-    out = every.drop("sketch").join(joined, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("__component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = _classified(docs, id_col, text_col, width, similarity, retained, sketch, deviations, pivots, block)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs whose estimate, the share of the union's ``k`` smallest hashes that both sets have, is at least ``least``."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    own = materialise(narrowed(classes.select("id", "sketch"), "id", ids, "id"))
-    rows = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = (3, 4), max_bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``docs``, in all its columns, that are left if one document of each group of near duplicates stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The one of smallest id stays. Of repeated rows, and of rows that share an id and their shingles, one stays (of
+    smallest text hash); rows that share an id but differ in their shingles each stay if the id does. Rows of null id
+    stay once for each shingle set that no row with an id has. Rows without shingles are no group's: they stay, once
+    for each id. An empty table stays empty.
+
+    Rows whose id is neither null, nor dropped, nor repeated pass without a shuffle: a filter of at most ``max_bits``
+    tells most of them; the others are joined.
+    """
+    every = _classified(docs, id_col, text_col, width, similarity, 64, 512, 5.0, (1, 8), 1024)
+    own = every.groupBy("d1", "d2", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("kept").alias("kept"), F.max("component_id").alias("component_id"))
+    stay = materialise(own.where((F.col("kept")) | (F.col("doc_id").isNull() & F.col("component_id").isNull())).select("doc_id", "text_hash").distinct())
+    odd = materialise(every.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept").select("doc_id"))
+    discard(every)
+    key, text_hash, kept_id, kept_hash = spare(docs, "key", "hash", "kept_id", "kept_hash")
+    n = max(odd.count(), 1)
+    odd_id = may_hold(build_bloom(odd, "doc_id", n, 0.02, max_bits=max_bits, fit=True), F.col(key), docs.sparkSession)
+    rows = docs.withColumn(key, F.col(id_col).cast("long"))
+    asked = rows.where(F.col(key).isNull() | odd_id).withColumn(text_hash, F.xxhash64(F.col(text_col).cast("string")))
+    stay = stay.toDF(kept_id, kept_hash)
+    asked = asked.join(stay, F.col(key).eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash)), "left_semi").dropDuplicates([key, text_hash])
+    return rows.where(F.col(key).isNotNull() & ~odd_id).select(docs.columns).union(asked.select(docs.columns))
+
+
+def _linked(pairs: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float) -> DataFrame:
+    """The ``pairs(a, b, ca, cb)`` whose full sets reach the similarity; given ``sure``, those as they are.
+
+    The share of the union's ``k`` smallest hashes that both sets have estimates the similarity; it is exact if the
+    sketches are the whole sets. What is ``deviations`` below or better is verified on whole sets.
+    """
+    num, den = similarity
+    j = num / den
+    given = [pairs.where("sure").select("ca", "cb")] if "sure" in pairs.columns else []
+    asked = pairs.where("not sure").drop("sure") if given else pairs
+    small = members.select("id", "n", "sketch")
+    rows = asked.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            keep, sure = [], []
+            for m, n, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7)):
                 x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                sure.append(m <= k and n <= k)
+                if sure[-1]:
+                    common = m + n - len(np.union1d(x, y))
+                    keep.append(den * common >= num * (m + n - common))
+                    continue
                 merged = np.sort(np.concatenate([x, y]))
-                twice = np.r_[merged[1:] == merged[:-1], False]
                 start = np.r_[True, merged[1:] != merged[:-1]]
+                twice = np.r_[~start[1:], False]
                 union = np.flatnonzero(start)[:k]
-                keep.append(twice[union].sum() >= least * len(union))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                most = max(m, n) / j  # what the union holds at most, if they are linked
+                spread = math.sqrt(len(union) * j * (1 - j) * max(0.0, most - len(union)) / max(1.0, most - 1))
+                keep.append(twice[union].sum() >= len(union) * j - deviations * spread - 1)
+            out = [*batch.columns[:4], pa.array(sure, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "ca", "cb", "sure"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    kinds = "a long, b long, ca long, cb long"
+    likely = materialise(rows.select("a", "b", "ca", "cb", "na", "nb", "sa", "sb").mapInArrow(estimate, f"{kinds}, sure boolean"))
+    # Where a sketch is the whole set, the set is not held again.
+    sets = members.select("id", "sketch", "whole").withColumn("sketch", F.when(F.col("whole").isNull(), F.col("sketch")))
+    both = likely.where("not sure").join(sets.toDF("a", "sa", "wa"), "a").join(sets.toDF("b", "sb", "wb"), "b")
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    num, den = similarity
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    sets = materialise(_full_sets(narrowed(rows, "__id", ids, "id"), "__id", "__text", width))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for sx, wx, sy, wy in zip(*batch.columns[2:]):
+                x, y = (np.frombuffer(w.as_buffer(), np.uint64) if w.is_valid else s.values.to_numpy().view(np.uint64) for s, w in ((sx, wx), (sy, wy)))
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    verified = both.select("ca", "cb", "sa", "wa", "sb", "wb").mapInArrow(verify, "ca long, cb long")
+    out = materialise(_all([*given, likely.where("sure").select("ca", "cb"), verified]).toDF("a", "b").distinct())
+    discard(likely)
+    return out
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+

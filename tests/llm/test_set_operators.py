@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ann, neardup, urlfilter
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import QUERIES, URL_RULES
 
 
 def shingles(text):
@@ -41,9 +41,9 @@ def test_shingle_sets():
     assert (s[2] == s[3]).all()
 
 
-@pytest.mark.parametrize("cap", [2, 24])
-def test_near_duplicates_like_brute_force(spark, cap):
-    rng = random.Random(cap)
+@pytest.mark.parametrize("pivots", [(1, 8), ()])
+def test_near_duplicates_like_brute_force(spark, pivots):
+    rng = random.Random(len(pivots))
     vocab = [f"w{i}" for i in range(400)]
     passage = rng.choices(vocab, k=40)
     rows = []
@@ -55,7 +55,7 @@ def test_near_duplicates_like_brute_force(spark, cap):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             rows.append((len(rows) * 7 % 1009, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(df, cap=cap).collect()}
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(df, pivots=pivots).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == brute(rows)
     assert all(r["kept"] == (i == r["component_id"]) and r["n_shingles"] == len(shingles(dict(rows)[i])) for i, r in got.items())
 
@@ -75,6 +75,47 @@ def test_near_duplicates_of_texts_made_of_frequent_lines(spark, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("sketch", [32, 512])
+def test_near_duplicates_of_all_sizes_at_the_threshold(spark, sketch):
+    # Pairs just at or below 3/4, with sizes about those at which sketches stop being whole sets.
+    rng = random.Random(9)
+    rows = []
+    for n in [*range(4, 130), 300, 520, 600, 700]:
+        for cut in range(3):
+            w = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            keep = max(1, (6 * n + 6) // 7 - cut) if n % 2 else max(1, (3 * n + 3) // 4 - cut)
+            # The second text shares the first ``keep`` shingles, and is shorter or as long.
+            rows += [" ".join(w), " ".join(w[: keep + 4] + ([f"x{rng.randrange(10**9)}" for _ in range(n - keep)] if n % 2 else []))]
+    rows = list(enumerate(rows))
+    want = brute_pairs(rows)
+    assert 100 < len(set(want.values())) - len(rows) // 2 < 300
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketch=sketch).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def brute_pairs(rows):
+    """Components where only rows 2k and 2k + 1 share anything."""
+    return {i: c for k in range(0, len(rows), 2) for i, c in brute(rows[k : k + 2]).items()}
+
+
+def test_query_like_brute_force(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op5_neardup"](spark, small).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_one_of_each(spark, odd_docs, empty):
+    long = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long + " end", "b"), (None, "only here", "c"), (None, "only here", "c"), (None, long, "c"), (3, "", "d"), (4, None, None), (5, "x y", "e"), (5, "z", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(got.collect(), key=str) == sorted({r for r in df.collect() if r["doc_id"] != 2 and not (r["doc_id"] is None and r["text"] == long)}, key=str)
+    kept = neardup.one_of_each(odd_docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["0", "1", "2", "3", "6", "7", "None"]
+    assert neardup.one_of_each(empty).count() == 0
+
+
 def test_near_duplicates_edges(spark, odd_docs, empty):
     got = neardup.near_duplicates(odd_docs).collect()
     by = {r["doc_id"]: r for r in got}
