@@ -23,10 +23,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
+    """One document of each group of near duplicates: the one of the smallest id.
+
+    Of repeated rows one stays. Rows of null id stay once for each shingle set that no row with an id has; rows without
+    shingles once for each id. An empty table stays empty; columns beside those of documents go.
+    """
     bounded_batches(spark)
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
