@@ -111,16 +111,24 @@ def access_trace(trace: DataFrame, capacity: int, *, block_rows: int = 50_000) -
 
     if blocks == 1:
         return rows.groupBy("block").applyInPandas(lambda part: run(part, []), schema)
-    starts = _stacks(rows, capacity, max(1, (blocks - 1).bit_length())).where(F.col("block") < blocks)
-    return rows.groupBy("block").cogroup(starts.groupBy("block")).applyInPandas(lambda part, first: run(part, first.sort_values("at")["key"].tolist()) if len(part) else part.assign(hit=False)[["seq", "key", "hit"]], schema)
+    # Names and attributes of their own: columns that both sides share would be pruned with the result's.
+    starts = _stacks(rows, capacity, max(1, (blocks - 1).bit_length())).where(F.col("block") < blocks).toDF("start_block", "start_key", "start_at")
+    starts = starts.select(*[(F.col(c) if c == "start_key" else F.col(c) + 0).alias(c) for c in starts.columns])
 
+    def resumed(part: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return part.assign(hit=False)[["seq", "key", "hit"]]
+        return run(part, first.sort_values("start_at")["start_key"].tolist())
 
-def hit_rates(trace: DataFrame, capacities: list[int]) -> DataFrame:
+    return rows.groupBy("block").cogroup(starts.groupBy("start_block")).applyInPandas(resumed, schema)
+
+
+def hit_rates(trace: DataFrame, capacities: list[int], *, block_rows: int = 50_000) -> DataFrame:
     """``capacity, hits, misses, evictions, final_size, hit_rate`` of each capacity; the rate in percent."""
     out = None
     keys = trace.agg(F.countDistinct("key")).scalar()
     for c in capacities:
-        got = access_trace(trace, c).agg(F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.count("*").alias("n"))
+        got = access_trace(trace, c, block_rows=block_rows).agg(F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.count("*").alias("n"))
         size = F.least(keys, F.lit(c)).cast("long")
         one = got.select(F.lit(c).alias("capacity"), "hits", (F.col("n") - F.col("hits")).alias("misses"), size.alias("final_size"))
         one = one.select("capacity", "hits", "misses", (F.col("misses") - F.col("final_size")).alias("evictions"), "final_size", F.coalesce(F.try_divide(F.col("hits") * 100.0, F.col("hits") + F.col("misses")), F.lit(0.0)).alias("hit_rate"))
@@ -133,10 +141,10 @@ def keys_in_order(trace: DataFrame, capacity: int) -> DataFrame:
     return trace.groupBy("key").agg(F.max("seq").alias("last_seq")).orderBy(F.desc("last_seq")).limit(capacity)
 
 
-def access_counts(trace: DataFrame, capacity: int) -> DataFrame:
+def access_counts(trace: DataFrame, capacity: int, *, block_rows: int = 50_000) -> DataFrame:
     """``key, gets, cache_hits, access_count``: the last counts the reads that reached storage."""
     hit = F.col("hit").cast("long")
-    return access_trace(trace, capacity).groupBy("key").agg(F.count("*").alias("gets"), F.sum(hit).alias("cache_hits"), F.sum(1 - hit).alias("access_count"))
+    return access_trace(trace, capacity, block_rows=block_rows).groupBy("key").agg(F.count("*").alias("gets"), F.sum(hit).alias("cache_hits"), F.sum(1 - hit).alias("access_count"))
 
 
 def fold(trace: DataFrame, capacity: int) -> DataFrame:

@@ -21,6 +21,18 @@ def test_blocks_agree_with_one_pass(spark, capacity, block):
     assert [r["hit"] for r in got] == simulate(keys, capacity)[0]
 
 
+def test_consumers_of_some_columns_over_many_blocks(spark):
+    rng = random.Random(4)
+    keys = [f"k{min(rng.randrange(30), rng.randrange(30))}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(keys)), "seq long, key string")
+    hits, lru = simulate(keys, 7)
+    assert cache.access_trace(df, 7, block_rows=100).count() == 400
+    r = cache.hit_rates(df, [7], block_rows=100).first()
+    assert (r["hits"], r["misses"], r["evictions"], r["final_size"]) == (lru.hits, lru.misses, lru.evictions, 7)
+    got = {r["key"]: (r["gets"], r["cache_hits"], r["access_count"]) for r in cache.access_counts(df, 7, block_rows=100).collect()}
+    assert got == {k: (keys.count(k), sum(h for h, x in zip(hits, keys) if x == k), sum(not h for h, x in zip(hits, keys) if x == k)) for k in set(keys)}
+
+
 def test_rates_and_order(spark):
     keys = list("abcabdaacbe")
     hits, lru = simulate(keys, 3)
