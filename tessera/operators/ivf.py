@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import IvfConfig
 from tessera.functions import metrics
+from tessera.operators import vectors as exact
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,8 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2") ->
                 cell = nearest(metric, v, centroids)[:, 0]
                 np.add.at(total, cell, v)
                 n += np.bincount(cell, minlength=len(n))
-        yield pd.DataFrame({"cell_id": np.flatnonzero(n).astype(np.int32), "n": n[n > 0], "total": list(total[n > 0])})
+        if n.any():  # a task without rows has nothing to give, and an empty column of lists has no type
+            yield pd.DataFrame({"cell_id": np.flatnonzero(n).astype(np.int32), "n": n[n > 0], "total": list(total[n > 0])})
 
     parts = vectors.select(F.col("values").cast("array<double>").alias("v")).mapInPandas(run, "cell_id int, n long, total array<double>")
     sums = [F.sum(F.get("total", F.lit(d))).alias(f"s{d}") for d in range(dims)]
@@ -96,6 +99,7 @@ def train(vectors: DataFrame, config: IvfConfig = IvfConfig(), sample: int | Non
     if len(dims) != 1:
         raise ValueError("vectors must have one dimension")
     rows = vectors if sample is None or sample >= n else vectors.where(F.pmod(F.xxhash64("id", F.lit(config.seed + 1)), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
     centroids = seeds(rows, min(config.nlist, n), config.seed)
     for _ in range(config.max_iter):
         new = centroids.copy()
@@ -107,9 +111,20 @@ def train(vectors: DataFrame, config: IvfConfig = IvfConfig(), sample: int | Non
         centroids = new
         if moved <= 1e-10:
             break
+    rows.unpersist()
     return Ivf(config, centroids, assign(vectors, centroids, config.metric))
 
 
+def retrain(index: Ivf, sample: int | None = None) -> Ivf:
+    """A new index over the vectors that the postings hold, trained from the start with the same configuration."""
+    return train(index.postings.select("id", "values"), index.config, sample)
+
+
+def brute_force(index: Ivf, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, rank, id, score``: exact search over all that the postings hold, whatever their cell."""
+    return exact.top_k_batch(index.postings.select("id", "values"), queries, k, metric=index.config.metric)
+
+
 def add(index: Ivf, vectors: DataFrame) -> Ivf:
     """Rows of ids that are there already replace them, whatever their cell."""
     new = assign(vectors, index.centroids, index.config.metric)

@@ -104,3 +104,16 @@ def test_more_queries_than_one_part_holds(spark, small, monkeypatch):
     got = vectors.top_k_batch(df, queries, 5).collect()
     assert len(got) == 5 * queries.count() == 125
     assert {(r["query_id"], r["rank"], r["id"]) for r in got} == {r[:3] for r in whole}
+
+
+def test_index_over_empty_partitions(spark):
+    rows = [(i, [float(i % 5), float(i % 3) + 1]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, values array<double>").repartition(20)
+    index = ivf.train(df, IvfConfig(nlist=3, nprobe=3))
+    q = spark.createDataFrame([(0, [1.0, 1.0])], "query_id long, values array<double>")
+
+    def near(found):
+        return [(r["id"], round(r["score"], 9)) for r in found.orderBy("rank").collect()]
+
+    assert near(ivf.search(index, q, 12)) == near(ivf.brute_force(index, q, 12)) and len(index.centroids) == 3
+    assert sorted(map(tuple, ivf.retrain(index).centroids)) == sorted(map(tuple, index.centroids))
