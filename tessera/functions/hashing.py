@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def ring_hash(key: Column) -> Column:
     return F.conv(F.substring(F.sha1(F.encode(key, "UTF-8")), 1, 8), 16, 10).cast("long")
 
 
+def ring_hash_of(key: str) -> int:
+    """The same hash of one key, on the driver."""
+    return int(hashlib.sha1(key.encode()).hexdigest()[:8], 16)
+
+
 def code_unit_hash(key: Column) -> Column:
     """``h = 31 h + unit`` over UTF-16 code units in 32-bit arithmetic, then the absolute value; empty: 0."""
     digits = F.hex(F.encode(key, "UTF-16BE"))

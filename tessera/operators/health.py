@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,8 +117,6 @@ def retry_schedule(spark: SparkSession, config: FaultConfig = FaultConfig()) ->
 
 def with_retries(action: Callable, config: FaultConfig = FaultConfig(), sleep: Callable[[float], None] | None = None, fallback: Callable | None = None):
     """Run a driver-side action with retries; then the fallback, if there is one, else the last error."""
-    import time
-
     for attempt in range(config.max_retries + 1):
         try:
             return action()
@@ -127,6 +128,132 @@ def with_retries(action: Callable, config: FaultConfig = FaultConfig(), sleep: C
             (sleep or time.sleep)(min(config.max_delay_ms, config.retry_delay_ms * config.backoff**attempt) / 1000)
 
 
+class NodeMonitor:
+    """Breakers and health of the nodes that a driver-side client calls."""
+
+    def __init__(self, config: FaultConfig = FaultConfig()):
+        self.config, self.nodes, self.breakers = config, {}, {}
+        self.retries = self.recoveries = self.degradations = self.partitions = self.turned_unhealthy = 0
+        self._cut: dict[str, float] = {}
+
+    def register(self, node_id: str) -> bool:
+        if node_id in self.nodes:
+            return False
+        self.nodes[node_id] = {"node_id": node_id, "is_healthy": True, "failures": 0, "successes": 0, "response_ms": 0.0, "errors": 0, "last_check_ms": None, "shown": None}
+        self.breakers[node_id] = Breaker(self.config)
+        return True
+
+    def unregister(self, node_id: str) -> bool:
+        self.breakers.pop(node_id, None)
+        return self.nodes.pop(node_id, None) is not None
+
+    def update(self, **changes) -> FaultConfig:
+        """Change the configuration; breakers that exist follow it from their next call on."""
+        self.config = replace(self.config, **changes)
+        for b in self.breakers.values():
+            b.config = self.config
+        return self.config
+
+    def record(self, node_id: str, ok: bool, now_ms: float, response_ms: float = 0.0) -> None:
+        """A call's outcome; unknown nodes are passed over."""
+        n = self.nodes.get(node_id)
+        if n is None:
+            return
+        n |= {"response_ms": response_ms, "last_check_ms": now_ms, "shown": None}
+        n["failures"], n["successes"] = (0, n["successes"] + 1) if ok else (n["failures"] + 1, 0)
+        n["errors"] += not ok
+        if ok and not n["is_healthy"] and n["successes"] >= self.config.healthy_after:
+            n["is_healthy"] = True
+            self.recoveries += 1
+        elif not ok and n["is_healthy"] and n["failures"] >= self.config.unhealthy_after:
+            n["is_healthy"] = False
+            self.turned_unhealthy += 1
+
+    def execute(self, node_id: str, action: Callable, now_ms: float, fallback: Callable | None = None):
+        """Run an action of a node behind its breaker and record how it went; if it fails, the fallback, else its error.
+
+        A call that the breaker does not admit fails as well. A fallback that fails gives way to the first error.
+        """
+        if node_id not in self.nodes:
+            raise KeyError(f"node {node_id} is not registered")
+        self._heal(now_ms)
+        breaker, began = self.breakers[node_id], time.perf_counter()
+        try:
+            if not breaker.admits(now_ms):
+                raise RuntimeError(f"the breaker of {node_id} is open")
+            try:
+                result = action()
+            except Exception:
+                breaker.record(False, now_ms)
+                raise
+            breaker.record(True, now_ms)
+        except Exception:
+            self.record(node_id, False, now_ms)
+            if fallback is not None:
+                self.degradations += 1
+                with contextlib.suppress(Exception):
+                    return fallback()
+            raise
+        self.record(node_id, True, now_ms, (time.perf_counter() - began) * 1000)
+        return result
+
+    def retried(self, action: Callable, now_ms: float, node_id: str | None = None, sleep: Callable[[float], None] | None = None):
+        """``with_retries`` that counts failed attempts and recoveries, and records the failures of a node."""
+        failed = 0
+
+        def attempt():
+            nonlocal failed
+            try:
+                got = action()
+            except Exception:
+                failed += 1
+                self.retries += 1
+                if node_id is not None:
+                    self.record(node_id, False, now_ms)
+                raise
+            self.recoveries += failed > 0
+            return got
+
+        return with_retries(attempt, self.config, sleep)
+
+    def force(self, node_id: str, state: str) -> bool:
+        """Show a breaker state; CLOSED also resets the breaker. Whether the node is known."""
+        if node_id not in self.breakers:
+            return False
+        self.breakers[node_id].force(state)
+        self.nodes[node_id]["shown"] = None if state == CLOSED else state
+        return True
+
+    def partition(self, node_ids: list[str], now_ms: float, duration_ms: float | None = None) -> None:
+        """Cut nodes off: unhealthy from now on, healthy again once the duration is over."""
+        self.partitions += 1
+        for k in node_ids:
+            if k in self.nodes:
+                self.nodes[k] |= {"is_healthy": False, "failures": self.config.unhealthy_after}
+                self._cut[k] = now_ms + (self.config.partition_ms if duration_ms is None else duration_ms)
+
+    def _heal(self, now_ms: float) -> None:
+        for k in [k for k, until in self._cut.items() if now_ms >= until]:
+            del self._cut[k]
+            if k in self.nodes:
+                self.nodes[k] |= {"is_healthy": True, "failures": 0, "successes": self.config.healthy_after}
+
+    def health(self, now_ms: float) -> list[dict]:
+        self._heal(now_ms)
+        return [{k: v for k, v in n.items() if k != "shown"} | {"breaker": n["shown"] or self.breakers[n["node_id"]].state} for n in self.nodes.values()]
+
+    def healthy(self, now_ms: float, wanted: bool = True) -> list[str]:
+        return [n["node_id"] for n in self.health(now_ms) if n["is_healthy"] is wanted]
+
+    def stats(self, now_ms: float) -> dict[str, float]:
+        up = [n["response_ms"] for n in self.health(now_ms) if n["is_healthy"]]
+        done = self.retries + self.recoveries
+        return {
+            "average_response_ms": sum(up) / len(up) if up else 0.0, "error_rate": 100 * self.retries / done if done else 0.0, "open_breakers": sum(b.state == OPEN for b in self.breakers.values()),
+            "retries": self.retries, "recoveries": self.recoveries, "degradations": self.degradations, "partitions": self.partitions, "turned_unhealthy": self.turned_unhealthy,
+        }
+
+
 def partition_events(partitions: DataFrame, default_ms: int = 10_000) -> DataFrame:
     """``node_id, from_ms, to_ms`` of simulated partitions ``(node_id, ts_ms, duration_ms)``; no duration: the default."""
     return partitions.select("node_id", F.col("ts_ms").alias("from_ms"), (F.col("ts_ms") + F.coalesce("duration_ms", F.lit(default_ms))).alias("to_ms"))

@@ -60,6 +60,11 @@ def trimmed_size(total: int, config: ReplicationConfig = ReplicationConfig()) ->
     return config.keep + (total - config.limit - 1) % (config.limit - config.keep + 1)
 
 
+def trimmed(log: DataFrame, config: ReplicationConfig = ReplicationConfig()) -> DataFrame:
+    """The newest rows of a log, as many as are left if it is cut in this way."""
+    return log.orderBy(F.desc("seq")).limit(trimmed_size(log.count(), config))
+
+
 def recent(log: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` rows, newest first."""
     return log.orderBy(F.desc("seq")).limit(n)
@@ -74,22 +79,24 @@ def promote(replicas: DataFrame) -> DataFrame:
     return replicas.where("is_healthy and not is_master").orderBy(F.desc("synced_ops"), "insert_ord").limit(1)
 
 
-def fold_membership(replicas: DataFrame, events: list[tuple[str, str]]) -> DataFrame:
-    """``replicas`` after ``(event, node_id)`` in turn: unhealthy, healthy or remove.
-
-    A master that turns unhealthy, or is removed, has a successor promoted at that transition only; it stays marked
-    master itself while it is away, and loses the mark when it comes back. Unknown ids and repeated events change
-    nothing. A replica set is a handful of rows, so this runs on the driver.
-    """
-    rows = {r["node_id"]: r.asDict() for r in replicas.orderBy("insert_ord").limit(10_000).collect()}
+def _folded(rows: dict[str, dict], events: list[tuple[str, str]]) -> int:
+    """Apply ``(event, node_id)`` to the replicas by id; how many masters were promoted."""
+    promoted = 0
 
     def succeed():
+        nonlocal promoted
         fit = [r for r in rows.values() if r["is_healthy"] and not r["is_master"]]
         if fit and not any(r["is_master"] and r["is_healthy"] for r in rows.values()):
             max(fit, key=lambda r: (r["synced_ops"], -r["insert_ord"]))["is_master"] = True
+            promoted += 1
 
     for event, node in events:
+        if event not in ("add", "unhealthy", "healthy", "remove"):
+            raise ValueError(f"unknown event {event}")
         r = rows.get(node)
+        if event == "add" and r is None:
+            last = max((x["insert_ord"] for x in rows.values()), default=-1)
+            rows[node] = {"node_id": node, "is_healthy": True, "is_master": False, "replication_lag": 0, "synced_ops": 0, "insert_ord": last + 1}
         if r is None:
             continue
         if event == "unhealthy" and r["is_healthy"]:
@@ -104,8 +111,26 @@ def fold_membership(replicas: DataFrame, events: list[tuple[str, str]]) -> DataF
             del rows[node]
             if r["is_master"]:
                 succeed()
-        elif event not in ("unhealthy", "healthy"):
-            raise ValueError(f"unknown event {event}")
-    return replicas.sparkSession.createDataFrame([tuple(r[c] for c in replicas.columns) for r in rows.values()], replicas.schema)
+    return promoted
+
+
+def _by_id(replicas: DataFrame) -> dict[str, dict]:
+    return {r["node_id"]: r.asDict() for r in replicas.orderBy("insert_ord").limit(10_000).collect()}
+
+
+def fold_membership(replicas: DataFrame, events: list[tuple[str, str]]) -> DataFrame:
+    """``replicas`` after ``(event, node_id)`` in turn: add, unhealthy, healthy or remove.
+
+    An added replica is healthy, no master, without operations, and the last inserted. A master that turns unhealthy,
+    or is removed, has a successor promoted at that transition only; it stays marked master itself while it is away,
+    and loses the mark when it comes back. Unknown ids and repeated events change nothing. A replica set is a handful
+    of rows, so this runs on the driver.
+    """
+    rows = _by_id(replicas)
+    _folded(rows, events)
+    return replicas.sparkSession.createDataFrame([tuple(r.get(c) for c in replicas.columns) for r in rows.values()], replicas.schema)
 
 
+def failovers(replicas: DataFrame, events: list[tuple[str, str]]) -> int:
+    """How many of the events had a successor promoted."""
+    return _folded(_by_id(replicas), events)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import RingConfig
-from tessera.functions.hashing import ring_hash
+from tessera.functions.hashing import ring_hash, ring_hash_of
 
 TOP = (1 << 32) - 1
 #: Buckets of the hash space that the range lookup is keyed by.
@@ -56,6 +58,14 @@ def place(keys: DataFrame, ring: DataFrame, ring_size: int | None = None) -> Dat
     return got.drop("__h", "lo", "hi", "bucket")
 
 
+def owner_of(key: str, config: RingConfig, unhealthy: tuple[str, ...] = ()) -> str | None:
+    """The node of one key, on the driver: what ``place`` gives it; none if no node is healthy."""
+    ring = sorted((ring_hash_of(f"{n[0]}:{i}"), n[0], i) for n in dict.fromkeys(config.nodes) if n[0] not in unhealthy for i in range(config.vnodes))
+    if not ring:
+        return None
+    return ring[bisect.bisect_left(ring, (ring_hash_of(key),)) % len(ring)][1]
+
+
 def distribution(placed: DataFrame, node_rows: DataFrame) -> DataFrame:
     """``node_id, key_count``, every node present."""
     counts = placed.groupBy("node_id").agg(F.count("*").alias("n"))

@@ -15,9 +15,18 @@ VECTOR_LOG = "seq BIGINT, type STRING, id STRING, vector ARRAY<DOUBLE>, metadata
 
 
 def read_kv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines log as ``KV_LOG``; rows are numbered in file order, from 1, with gaps between files' splits."""
-    rows = spark.read.schema(KV_LINES).json(path)
-    return rows.select((F.monotonically_increasing_id() + 1).alias("seq"), "op", "key", "value", F.col("ttl").alias("ttl_ms"), F.col("ts").alias("ts_ms"))
+    """A JSON-lines log as ``KV_LOG``; rows are numbered from 1 by file name, then by place, with gaps between splits.
+
+    Spark deals splits to tasks by size, so a row's number comes from its split's rank and its place within the task,
+    which within a split follows the file. Only the splits' names come to the driver.
+    """
+    rows = spark.read.schema(KV_LINES).json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    splits = sorted((r["file"], r["start"]) for r in rows.select("file", "start").distinct().collect())
+    ranks = spark.createDataFrame([(*s, i) for i, s in enumerate(splits)], "split_file string, split_start long, split long")
+    got = rows.join(ranks, (F.col("file") == F.col("split_file")) & (F.col("start") == F.col("split_start")))
+    seq = F.shiftleft("split", 33) + F.col("place") + 1
+    return got.select(seq.alias("seq"), "op", "key", "value", F.col("ttl").alias("ttl_ms"), F.col("ts").alias("ts_ms"))
 
 
 def stream_kv_lines(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -79,6 +88,26 @@ class Layout:
     def segment(self, n: int) -> str:
         return f"{self.segments}/{segment_name(n)}"
 
+    def rewrite(self, path: str, rows: DataFrame) -> int:
+        """Put a log's new form in its place, with one row more for the last number given; returns the other rows.
+
+        The new files are written beside the old ones first, and a reader sees either all of the one or of the other
+        but for the moment between two renames.
+        """
+        n, last = rows.count(), read_log(self.spark, path, rows.schema).agg(F.max("seq")).first()[0]
+        rows.write.mode("overwrite").parquet(f"{path}.new")
+        if last is not None and rows.agg(F.max("seq")).first()[0] != last:
+            blank = [F.lit(last).cast("long").alias("seq") if f.name == "seq" else F.lit({"op": "NOP", "type": "nop"}.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]
+            self.spark.range(1).select(*blank).write.mode("append").parquet(f"{path}.new")
+        fs, at = self._at(path)
+        _, new = self._at(f"{path}.new")
+        _, old = self._at(f"{path}.old")
+        fs.delete(old, True)
+        if not fs.rename(at, old) or not fs.rename(new, at):
+            raise OSError(f"{path} could not be replaced")
+        fs.delete(old, True)
+        return n
+
     def read_current(self) -> str | None:
         fs, at = self._at(self.current)
         if not fs.exists(at):
@@ -87,13 +116,16 @@ class Layout:
         return rows[0][0].strip() if rows else None
 
     def write_current(self, name: str) -> None:
-        """Write the pointer beside the old one, then rename it into place."""
+        """Write the pointer beside the old one, then rename it into place, over the old one."""
         fs, at = self._at(self.current)
         _, new = self._at(f"{self.current}.new")
         out = fs.create(new, True)
         out.write(bytearray(f"{name}\n".encode()))
         out.close()
-        if fs.exists(at):
-            fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise OSError(f"{self.current} could not be replaced")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        how = sc._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        at, new = fs.makeQualified(at), fs.makeQualified(new)
+        hadoop.FileContext.getFileContext(at.toUri(), sc._jsc.hadoopConfiguration()).rename(new, at, how)

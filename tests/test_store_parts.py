@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.config import FaultConfig
-from tessera.engine import KeyValueStore, VectorCollection, store
+from tessera.config import FaultConfig, StoreConfig
+from tessera.engine import KeyValueStore, VectorCollection, collection, store
 from tessera.functions import text
 from tessera.operators import health, latency, lsm, rag, state
 from tessera.sources.log import KV_LOG, Layout, append_kv_lines, read_kv_lines, segment_name, stream_kv_lines
@@ -116,6 +116,69 @@ def test_engine_end_to_end(spark, tmp_path):
             bad()
 
 
+def test_store_parts_are_wired(spark, tmp_path):
+    s = store(spark, str(tmp_path), "parts", StoreConfig(cache_capacity=2))
+    s.write([("SET", f"k{i}", str(i), None, i) for i in range(4)])
+    assert s.cache_keys() == ["k3", "k2"] and s.get("k3", 9) == "3" and s.get("k0", 9) == "0" and s.get("k0", 9) == "0"
+    assert s.cache_keys() == ["k0", "k3"] and {r["key"]: r["access_count"] for r in s.access_stats().collect()} == {"k0": 1}
+    assert s.cache_stats()["hits"] == 2 and s.get("k3", 2) is None
+    s.configure(cache_capacity=1)
+    assert len(s.cache_keys()) == 1
+    s.configure(cache=False)
+    assert s.cache_keys() == [] and s.get("k1", 9) == "1" and s.cache_keys() == []
+    assert s.owner("k1") == s.placed(9).where("key = 'k1'").first()["node_id"]
+    s.configure(sharding=False)
+    assert s.owner("k1") is None and s.get("k1", 9) == "1"
+    s.configure(sharding=True)
+    assert s.operations().count() == 0 and s.add_replica("r1", is_master=True) and s.add_replica("r2") and not s.add_replica("r2")
+    assert s.operations().count() == 4 and [r["op_id"] for r in s.operations(2).collect()] == ["op-4", "op-3"]
+    assert s.mark_replica("r1", False) and s.replication_stats(99).first()["failover_events"] == 1 and s.replicas().where("is_master").count() == 2
+    s.update_replication(limit=3, keep=2)
+    assert s.operations().count() == 2
+    s.configure(replication=False)
+    assert s.operations().count() == 0 and s.remove_replica("r2") and not s.remove_replica("r2")
+    s.clear_replicas()
+    assert s.replicas().count() == 0
+    s.partition_nodes(["node-1"], 0, 10)
+    assert s.unhealthy_nodes(5) == ["node-1"] and s.unhealthy_nodes(10) == [] and len(s.node_health(10)) == 3
+    assert s.set_breaker("node-2", "OPEN") and not s.set_breaker("zz", "OPEN") and {n["node_id"]: n["breaker"] for n in s.node_health(10)}["node-2"] == "OPEN"
+    assert s.mark_node("node-1", False) and s.nodes(healthy_only=True).count() == 2 and s.add_node("node-9") and s.ring_stats().first()["rebalances"] == 1
+    assert s.compact(9) == 4 and s.keys(9).count() == 4 and KeyValueStore(spark, s.layout)._seq == s._seq
+    s.delete("k0", 9), s.delete("k3", 9)
+    assert s.compact(10) == 2 and KeyValueStore(spark, s.layout)._seq == s._seq
+    s.clear_nodes()
+    assert s.nodes().count() == 0 and s.owner("k1") is None
+
+
+def test_monitor():
+    m = health.NodeMonitor(FaultConfig(failure_threshold=2, unhealthy_after=2, healthy_after=1, recovery_ms=10, success_threshold=1))
+    assert m.register("a") and not m.register("a")
+    fail = lambda: 1 / 0
+    for t in (0, 1):
+        with pytest.raises(ZeroDivisionError):
+            m.execute("a", fail, t)
+    assert m.healthy(1) == [] and m.breakers["a"].state == "OPEN" and m.stats(1)["open_breakers"] == 1
+    with pytest.raises(RuntimeError):
+        m.execute("a", lambda: 1, 2)
+    assert m.execute("a", lambda: 1, 3, fallback=lambda: 2) == 2 and m.degradations == 1
+    with pytest.raises(RuntimeError):
+        m.execute("a", lambda: 1, 3, fallback=fail)
+    assert m.execute("a", lambda: 1, 12) == 1 and m.healthy(12) == ["a"] and m.recoveries == 1
+    tries = iter([0, 0, 1])
+    assert m.retried(lambda: 1 / next(tries), 12, "a", sleep=lambda s: None) == 1 and m.retries == 2 and m.recoveries == 2 and m.stats(12)["error_rate"] == 50
+    assert m.update(retry_delay_ms=1).retry_delay_ms == 1 and m.unregister("a") and not m.unregister("a")
+    with pytest.raises(KeyError):
+        m.execute("a", lambda: 1, 12)
+
+
+def test_log_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "part-0.json").write_text('{"op":"SET","key":"a","value":"old","ts":1}\n')
+    (tmp_path / "part-1.json").write_text("".join('{"op":"SET","key":"b","value":"%d","ts":2}\n' % i for i in range(3000)) + '{"op":"SET","key":"a","value":"new","ts":2}\n')
+    log = read_kv_lines(spark, str(tmp_path))
+    assert {r["key"]: r["value"] for r in state.replay(log).collect()} == {"a": "new", "b": "2999"}
+    assert log.select("seq").distinct().count() == 3002 and read_kv_lines(spark, str(tmp_path)).agg(F.min("seq")).first()[0] == 1
+
+
 def test_collection_end_to_end(spark, tmp_path):
     c = VectorCollection(spark, Layout(spark, str(tmp_path), "vec"))
     assert c.upsert([{"id": "a", "values": [1, 0], "metadata": {"t": 1}}, {"id": "b", "values": [0, 1]}, {"values": [1, 1]}], 0) == 2
@@ -125,6 +188,8 @@ def test_collection_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError):
         c.query([1, 2, 3])
     assert c.delete(["a", "zz"], 2) == 1 and c.stats().first()["total_vectors"] == 1
+    assert c.compact() == 1 and [r["id"] for r in c.query([1, 0.2], 5).collect()] == ["b"] and c.log().count() == 2
+    assert VectorCollection(spark, c.layout)._seq == c._seq and collection(spark, str(tmp_path), "v") is collection(spark, str(tmp_path), "v")
 
 
 def test_layout(spark, tmp_path):
