@@ -17,8 +17,13 @@ def chunks(text: Column, size: int = 40) -> Column:
     """Groups of up to ``size`` words, each joined by single blanks; a text without words gives none."""
     if size < 1:
         raise ValueError("size must be at least 1")
-    w = words(text)
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(size)), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " ")), lambda c: c != "")
+
+    # Bound by a lambda, the words are split once a text and not once a chunk.
+    return F.element_at(F.transform(F.array(words(text)), cut), 1)
 
 
 def encode_document(text: Column, embedding: Column, metadata: Column) -> Column:
