@@ -22,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder's path, in the folder that executors share where the session names one."""
+    """A new folder's path in the folder that executors share; only a local session may leave that unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
@@ -69,7 +71,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id < 10").select(F.col("id").alias("query_id"), "values")
+    """Every vector whose id is divisible by 20."""
+    return vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), "values")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

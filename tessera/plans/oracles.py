@@ -84,7 +84,7 @@ def _batch(name: str, score: str, k: int, source: str = "v, q") -> str:
     return f"{name} AS (SELECT * FROM (SELECT query_id, id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS rank FROM {source}) WHERE rank <= {k})"
 
 
-QV = "q AS (SELECT id AS query_id, x AS q FROM v WHERE id < 10)"
+QV = "q AS (SELECT id AS query_id, x AS q FROM v WHERE id % 20 = 0)"
 CELLS = f"""c AS (
   SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS cell_id, list(m ORDER BY d) AS c FROM (
     SELECT label, d, avg(y) AS m FROM (SELECT label, unnest(x) AS y, generate_subscripts(x, 1) AS d FROM v) GROUP BY label, d) GROUP BY label),
