@@ -2,7 +2,9 @@
 
 A trie of weighted words and stems, some given and most learned, finds insults and threats. Only the clauses around
 them are read, by one machine composed of five small transducers: insult, threat, target, negation and reported
-speech. It weighs each hit by what stands around it in its clause; a document's score follows from its clauses.
+speech. The first two give weight to a clause, the others change what is given: an insult counts in full beside
+another one, more if it is aimed at a target and less by itself; a threat hardly counts before its target comes.
+A document's score follows from its clauses.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 # The given words of each symbol, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid scum loser pathetic worthless disgusting trash clown dumb trottel abschaum dummkopf connard imbécile ordure estúpido imbécil basura".split()
 THREATS = "kill murder destroy hurt beat töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
@@ -28,47 +32,58 @@ REPORTS = "said says say told wrote quoted claims claimed called reported sagte
 
 _CLAUSE = re.compile(r"[.!?;:\n]")
 _TOKEN = re.compile(r"[^\W\d_]+")
-PLAIN, HIT, TARGET, NEGATION, REPORT = range(5)
-#: How many tokens a negation, a target and a hit reach.
+SYMBOLS = PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NAMES = ("", "insult", "threat", "target", "negation", "report")
+#: How many tokens an insult, a threat, a target and a negation reach.
 REACH = 3
 
 
-def _negation(state: int, symbol: int) -> tuple[int, float]:
-    """Damps hits that follow a negation within reach."""
-    if symbol == NEGATION:
-        return REACH, 1.0
-    return max(0, state - 1), 0.3 if symbol == HIT and state else 1.0
+def _insult(state: int, symbol: int) -> tuple[int, float]:
+    """Four fifths of an insult's weight if it stands alone, all of it within reach of another; a target after it adds 0.5."""
+    if symbol == INSULT:
+        return REACH, 1.0 if state else 0.8
+    return max(0, state - 1) if symbol != TARGET else 0, 0.5 if symbol == TARGET and state else 0.0
 
 
-def _report(state: int, symbol: int) -> tuple[int, float]:
-    """Damps hits after a verb of reported speech, to the end of the clause."""
-    return int(state or symbol == REPORT), 0.5 if symbol == HIT and state else 1.0
+def _threat(state: int, symbol: int) -> tuple[int, float]:
+    """A fifth of a threat's weight until its target follows within reach, which adds 1."""
+    if symbol == THREAT:
+        return REACH, 0.2
+    return max(0, state - 1) if symbol != TARGET else 0, 1.0 if symbol == TARGET and state else 0.0
 
 
 def _target(state: int, symbol: int) -> tuple[int, float]:
-    """Strengthens hits that follow a target within reach."""
+    """Half as much again for insults and threats that follow a target within reach."""
     if symbol == TARGET:
         return REACH, 1.0
-    return max(0, state - 1), 1.5 if symbol == HIT and state else 1.0
+    return max(0, state - 1), 1.5 if symbol in (INSULT, THREAT) and state else 1.0
 
 
-def _aimed(state: int, symbol: int) -> tuple[int, float]:
-    """A target within reach after a hit counts as half a hit of weight 1."""
-    if symbol == HIT:
+def _negation(state: int, symbol: int) -> tuple[int, float]:
+    """Damps what is given within reach of a negation."""
+    if symbol == NEGATION:
         return REACH, 1.0
-    return max(0, state - 1) if symbol != TARGET else 0, 0.5 if symbol == TARGET and state else 0.0
+    return max(0, state - 1), 0.3 if state else 1.0
+
+
+def _report(state: int, symbol: int) -> tuple[int, float]:
+    """Damps what is given after a verb of reported speech, to the end of the clause."""
+    return int(state or symbol == REPORT), 0.5 if state else 1.0
 
 
 def compose() -> tuple[list[list[int]], list[list[float]]]:
-    """The product of the transducers: next state and weight by state and symbol, state 0 at a clause's start."""
-    parts, sizes = (_negation, _report, _target, _aimed), (REACH + 1, 2, REACH + 1, REACH + 1)
+    """The product of the transducers: next state and weight by state and symbol, state 0 at a clause's start.
+
+    What insult and threat give is added, and multiplied by what the other three say.
+    """
+    parts, sizes = (_insult, _threat, _target, _negation, _report), (REACH + 1,) * 4 + (2,)
     states = list(itertools.product(*map(range, sizes)))
     number = {s: i for i, s in enumerate(states)}
     go, weight = [], []
     for s in states:
-        moves = [[f(x, symbol) for f, x in zip(parts, s)] for symbol in range(5)]
+        moves = [[f(x, symbol) for f, x in zip(parts, s)] for symbol in SYMBOLS]
         go.append([number[tuple(m[0] for m in row)] for row in moves])
-        weight.append([math.prod(m[1] for m in row[:3]) if symbol == HIT else row[3][1] if symbol == TARGET else 0.0 for symbol, row in enumerate(moves)])
+        weight.append([(row[0][1] + row[1][1]) * math.prod(m[1] for m in row[2:]) for row in moves])
     return go, weight
 
 
@@ -97,6 +112,7 @@ class Grammar:
             self.trie.make_automaton()
         self.go, self.weight = compose()
         self.symbols = {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+        self.threats = frozenset(THREATS)
 
     def lexical(self, token: str) -> float:
         """Weight of a token: its own entry's, or that of its heaviest stem."""
@@ -113,18 +129,32 @@ class Grammar:
             start = end - len(key) + 1
             if start < done or start and low[start - 1].isalpha() or key not in self.stems and end + 1 < len(low) and low[end + 1].isalpha():
                 continue
+            # The last clause's end is a mark itself, so no text is looked at twice.
+            begin = max(low.rfind(c, done, start) for c in ".!?;:\n") + 1
             stop = _CLAUSE.search(low, end + 1)
             done = stop.start() if stop else len(low)
-            yield low[max(low.rfind(c, 0, start) for c in ".!?;:\n") + 1 : done]
-
-    def clause_weight(self, clause: str) -> float:
-        state, total = 0, 0.0
+            yield low[begin:done]
+
+    def symbol(self, token: str) -> tuple[int, float]:
+        """The token's symbol and its entry's weight; 1 where it has no entry."""
+        hit = self.lexical(token)
+        if hit > 0:
+            return THREAT if token in self.threats else INSULT, hit
+        return self.symbols.get(token, PLAIN), 1.0
+
+    def read(self, clause: str) -> tuple[float, str]:
+        """A clause's weight, and the pattern that was read: its symbols but plain ones."""
+        state, total, seen = 0, 0.0, []
         for token in _TOKEN.findall(clause):
-            hit = self.lexical(token)
-            symbol = HIT if hit > 0 else self.symbols.get(token, PLAIN)
-            total += self.weight[state][symbol] * (hit if symbol == HIT else 1.0)
+            symbol, hit = self.symbol(token)
+            total += self.weight[state][symbol] * (hit if symbol in (INSULT, THREAT) else 1.0)
             state = self.go[state][symbol]
-        return total
+            if symbol:
+                seen.append(NAMES[symbol])
+        return total, " ".join(seen)
+
+    def clause_weight(self, clause: str) -> float:
+        return self.read(clause)[0]
 
     def evidence(self, text: str | None) -> float:
         """Sum of the clauses' weights on a logarithmic scale; 0 for null and empty texts."""
@@ -138,19 +168,21 @@ def _features(text: str) -> set[str]:
 
 
 def train(
-    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 2.0, seed: int = 2
+    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 4.0, seed: int = 2
 ) -> ToxicityModel:
     """Learn entry weights and the score's scale from at most about ``max_rows`` labelled rows.
 
-    The sample keeps the rows whose hashed id is below the share that gives ``max_rows``. Rows with a null text or
-    label teach nothing. An entry is a word, or a stem of 4 to 6 letters, that at least ``min_docs`` toxic rows and
+    The sample keeps the rows whose hash of id and text is below the share that gives ``max_rows``, repeated ones once.
+    Rows with a null text or label teach nothing; a null id is one like any other. An entry is a word, or a stem of 4 to 6 letters, that at least ``min_docs`` toxic rows and
     ``min_share`` of them have (groups of copies alone do not make one) and whose smoothed log odds are at least
-    ``min_weight``; at most ``max_entries`` entries are kept, heaviest first, and none that another kept one covers. Without rows of both labels the given words
+    ``min_weight``; at most ``max_entries`` entries are kept, heaviest first, and none that another kept one covers. Without rows of both labels, so for an empty table, the given words
     alone make the model.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y"))
-    n = rows.count()
-    kept = rows.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 40)))
+    rows = rows.withColumn("h", F.xxhash64("i", "t", F.lit(seed)))
+    n = rows.agg(F.approx_count_distinct("h", 0.01)).first()[0]
+    kept = rows.where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 40)))
+    kept = materialise(kept.dropDuplicates(["h", "y"]).select("t", "y"))
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Counts of a task are handed on once they get large, so a task's memory is bounded.
@@ -158,7 +190,7 @@ def train(
 
         def rows_of() -> pd.DataFrame:
             keys = list({*by[0], *by[1]})
-            return pd.DataFrame({"f": keys, "clean": [by[0][k] for k in keys], "toxic": [by[1][k] for k in keys]})
+            return pd.DataFrame({"f": pd.Series(keys, dtype=object), "clean": pd.Series([by[0][k] for k in keys], dtype="int64"), "toxic": pd.Series([by[1][k] for k in keys], dtype="int64")})
 
         for p in parts:
             for t, y in zip(p["t"], p["y"]):
@@ -169,9 +201,7 @@ def train(
                     by[0].clear(), by[1].clear()
         yield rows_of()
 
-    counts = kept.select("t", "y").mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    from tessera.llm.common import materialise
-
+    counts = kept.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialise(counts.where((F.col("toxic") >= min_docs) | (F.col("f") == "")))
     every = counts.where("f = ''").first()
     given = ToxicityModel({w: 2.0 for w in INSULTS + THREATS}, {})
@@ -231,12 +261,18 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", thre
 
 
 def matches(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per matched clause: ``doc_id, clause, weight``."""
+    """One row per matched clause: ``doc_id, clause, pattern, weight``.
+
+    The pattern names the clause's insults, threats, targets, negations and reports in order. Null and empty texts
+    give no rows, repeated rows and equal clauses one each time, an empty table none; other columns are not looked at.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(model)
         for p in parts:
-            out = [(d, c, grammar.clause_weight(c)) for d, t in zip(p["doc_id"], p["t"]) if t for c in grammar.clauses(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "clause", "weight"])
+            out = [(d, c, pattern, weight) for d, t in zip(p["doc_id"], p["t"]) for c in grammar.clauses(t) for weight, pattern in [grammar.read(c)]]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "clause", "pattern", "weight"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, "doc_id long, clause string, weight double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
+    return rows.mapInPandas(run, "doc_id long, clause string, pattern string, weight double")
