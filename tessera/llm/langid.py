@@ -7,12 +7,12 @@ keeps the text's own history from drowning the dictionary; every block of a text
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import release
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Digits, marks and control characters tell no language: each becomes a blank.
 _PLAIN = bytes(b if b >= 0x80 or bytes([b]).isalpha() else 0x20 for b in range(256))
 
@@ -57,24 +57,26 @@ def train(
     """Build one dictionary per language from at most ``docs_per_language`` texts of it.
 
     The sample's bound is ``docs_per_language * chars_per_doc * max_languages`` characters: the documents of a
-    language with the smallest seeded hashes of their id, and of each a slice at a hashed place. Rows whose text or
+    language with the smallest seeded hashes of id and text, and of each a slice at a hashed place. Repeated rows count
+    once; a null id is one like any other. Rows whose text or
     language is null, or whose text is empty, teach nothing. More than ``max_languages`` languages raise ValueError.
     No labelled row at all gives a model without languages, which predicts ``und`` for every text.
     """
     text, lang = F.col(text_col), F.col(lang_col).cast("string")
     rows = docs.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0)).select(
-        lang.alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), text.alias("text")
+        lang.alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"), text.alias("text")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return LanguageModel((), block, level)
     # Each language is thinned to twice its quota by hash, so no language's rows meet in one task.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * docs_per_language + 20) / n))])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * docs_per_language + 20) / max(n, 1)))])
     unit = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - chars_per_doc + 1)).cast("int") + 1
-    picked = rows.where(unit < share[F.col("lang")]).select("lang", unit.alias("u"), F.col("text").substr(start, F.lit(chars_per_doc)).alias("s"))
+    picked = rows.where(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "h", F.col("text").substr(start, F.lit(chars_per_doc)).alias("s"))
+    picked = picked.groupBy("lang", "u", "h").agg(F.min("s").alias("s"))
     by: dict[str, list[tuple[float, str]]] = {}
     for r in picked.collect():
         by.setdefault(r["lang"], []).append((r["u"], r["s"]))
