@@ -1,18 +1,22 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Every value found and validated is permuted, within its own format, by a keyed Feistel network over mixed radices: a
-card number becomes another card number with a right check digit, a date another date. The permutation depends on
-the key and the kind of value only, so equal values stay equal across documents, whatever their spelling, and
-different ones stay different.
+card number becomes another card number with a right check digit, a date another date. What is permuted is the
+value's canonical form (a phone's digits, a mail address in lower case), and the permutation depends on the key and
+the kind of value only: equal values stay equal across documents in any spelling, and different ones stay different.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import spare
+
 # Formats of the values found, in order of precedence.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,8}[\p{L}\p{M}]{2,24}"
 KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{6,}+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
@@ -21,7 +25,19 @@ DAY_DATE = r"(?<![\d/.-])\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d|[-/.]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"
+# With a plus: the North American plan, then any grouping. Without: three groups with a bracket or marks, a leading 0,
+# or a word that says so. Groups parted by blanks alone are no phone.
+PHONE = (
+    r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<![\w+])\+[2-9](?:[ .()/-]{0,2}\d){7,14}(?!\d|\.\d)"
+    r"|(?<![\w+.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w|[.-]\d)"
+    r"|(?<![\w+.,-])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{2,8}(?:[ /-]\d{2,8}){0,4}(?!\w|[.,-]\d)"
+    r"|\b(?i:tel|telefon|phone|fax|mobile|cell|handy|téléphone|teléfono)[.:]{0,2}\s{1,3}\(?\d(?:[ .()/-]{0,2}\d){6,14}(?!\d)"
+)
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Characters that become one another.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
 KINDS = {"email": EMAIL, "key_id": KEY_ID, "secret": SECRET, "ipv4": IPV4, "date": f"{ISO_DATE}|{DAY_DATE}", "ssn": SSN, "iban": IBAN, "card": CARD, "phone": PHONE}
 FOUND = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Each format needs one of these, and most texts have none.
@@ -31,9 +47,9 @@ FIRST_DAY, DAY_RADICES = "1700-01-01", (189, 773)
 ROUNDS = 8
 
 
-def _prf(key: str, kind: str, turn: Column, i: Column, other: Column) -> Column:
+def _prf(key: Column, kind: str, turn: Column, i: Column, other: Column) -> Column:
     """48 keyed pseudorandom bits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), turn, i, other), 256), 1, 12), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", key, F.lit(kind), turn, i, other), 256), 1, 12), 16, 10).cast("long")
 
 
 def _said(other: Column) -> Column:
@@ -41,7 +57,7 @@ def _said(other: Column) -> Column:
     return F.when(F.size(other) > 100, F.sha2(F.array_join(other, ","), 256)).otherwise(F.array_join(other, ","))
 
 
-def feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
+def feistel(values: Column, radices: Column, key: Column, kind: str) -> Column:
     """A keyed permutation of arrays of numbers, each below its radix.
 
     Each round adds to one half a pseudorandom number that depends on the other half, modulo each radix.
@@ -73,18 +89,39 @@ def _longs(*values: int) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _symbols(s: Column, key: str, kind: str, hexadecimal: bool = True) -> Column:
-    """Permute letters within their case and digits within digits; a hexadecimal string within its digits."""
-    code = lambda c: F.ascii(c).cast("long")
-    is_hex = F.lit(hexadecimal) & s.rlike(r"^(?=.*\d)[0-9a-f]{8,}$")
-    base = lambda c: F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65).cast("long")
-    plain_radix = F.transform(_chars(s), lambda c: F.when(c.rlike("^[0-9]$"), 10).when(c.rlike("^[A-Za-z]$"), 26).otherwise(1).cast("long"))
-    plain_value = F.transform(_chars(s), lambda c: F.coalesce(code(c) - base(c), F.lit(0).cast("long")))
-    plain = F.array_join(F.zip_with(_chars(s), feistel(plain_value, plain_radix, key, kind), lambda c, v: F.when(base(c).isNull(), c).otherwise(F.char(base(c) + v))), "")
+def _symbols(s: Column, key: Column, kind: str) -> Column:
+    """Permute each character within its alphabet; what has none stays."""
+    by_alphabet = lambda c, f, none: reduce(lambda out, a: F.when(F.instr(F.lit(a), c) > 0, f(a)).otherwise(out), ALPHABETS, none)
+
+    def moved(chars: Column) -> Column:
+        radices = F.transform(chars, lambda c: by_alphabet(c, lambda a: F.lit(len(a)), F.lit(1)).cast("long"))
+        values = F.transform(chars, lambda c: by_alphabet(c, lambda a: F.instr(F.lit(a), c) - 1, F.lit(0)).cast("long"))
+        new = feistel(values, radices, key, kind)
+        return F.array_join(F.zip_with(chars, new, lambda c, v: by_alphabet(c, lambda a: F.substring(F.lit(a), v.cast("int") + 1, F.lit(1)), c)), "")
+
+    return _let(_chars(s), moved)
+
+
+def _lowered(s: Column, key: Column, kind: str) -> Column:
+    """The lower-cased characters permuted, then given the cases of ``s``."""
+    low = F.transform(_chars(s), lambda c: F.lower(c))
+    return F.array_join(F.zip_with(_chars(s), _chars(_symbols(F.array_join(low, ""), key, kind)), lambda c, x: F.when(c == F.lower(c), x).otherwise(F.upper(x))), "")
+
+
+def _email(s: Column, key: Column) -> Column:
+    """Name and domain, in lower case, each by itself; the top-level domain stays."""
+    domain = F.substring_index(s, "@", -1)
+    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
+    return F.concat(_lowered(F.substring_index(s, "@", 1), key, "email"), F.lit("@"), _lowered(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), key, "domain"), top)
+
+
+def _secret(s: Column, key: Column) -> Column:
+    """A hexadecimal string of one case within its digits, the same in either case; any other character by character."""
     hexed = F.array_join(
-        F.transform(feistel(F.transform(_chars(s), lambda c: F.conv(c, 16, 10).cast("long")), F.transform(_chars(s), lambda c: F.lit(16).cast("long")), key, kind), lambda v: F.lower(F.conv(v.cast("string"), 10, 16))), ""
+        F.transform(feistel(F.transform(_chars(s), lambda c: F.conv(c, 16, 10).cast("long")), F.transform(_chars(s), lambda c: F.lit(16).cast("long")), key, "secret"), lambda v: F.conv(v.cast("string"), 10, 16)), ""
     )
-    return F.when(is_hex, hexed).otherwise(plain)
+    plain = _symbols(s, key, "secret")
+    return F.when(s.rlike(r"^(?=.*\d)[0-9a-f]{8,}$"), F.lower(hexed)).when(s.rlike(r"^(?=.*\d)[0-9A-F]{8,}$"), F.upper(hexed)).otherwise(plain)
 
 
 def _laid_out(s: Column, digits: Column) -> Column:
@@ -102,7 +139,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(twice, F.lit(0).cast("long"), lambda a, d: a + d)
 
 
-def _card(s: Column, key: str) -> Column:
+def _card(s: Column, key: Column) -> Column:
     def moved(d: Column) -> Column:
         n = F.size(d)
         middle = F.slice(d, F.lit(2), n - 2)
@@ -112,7 +149,7 @@ def _card(s: Column, key: str) -> Column:
     return _let(_digits(s), moved)
 
 
-def _cards(s: Column, key: str) -> Column:
+def _cards(s: Column, key: Column) -> Column:
     """The longest, first run of whole digit groups that is a valid card is replaced; groups beside it stay."""
     valid = lambda d: F.size(d).between(13, 19) & (F.pmod(_luhn(d), F.lit(10)) == 0)
     groups = F.split(s, "[ -]", -1)
@@ -126,12 +163,12 @@ def _cards(s: Column, key: str) -> Column:
     return F.when(valid(_digits(s)), _card(s, key)).when(F.size(groups) > 1, F.coalesce(_let(F.get(fit, F.lit(0)), lambda x: F.when(x.isNotNull(), part(x))), s)).otherwise(s)
 
 
-def _ipv4(s: Column, key: str) -> Column:
+def _ipv4(s: Column, key: Column) -> Column:
     octets = F.transform(F.split(s, r"\."), lambda x: x.cast("long"))
     return F.when(F.forall(octets, lambda x: x < 256), F.array_join(feistel(octets, _longs(256, 256, 256, 256), key, "ipv4"), ".")).otherwise(s)
 
 
-def _ssn(s: Column, key: str) -> Column:
+def _ssn(s: Column, key: Column) -> Column:
     part = F.transform(F.split(s, "-"), lambda x: x.cast("long"))
     a, g, n = (F.get(part, F.lit(i)) for i in range(3))
     ok = (a >= 1) & (a < 900) & (a != 666) & (g >= 1) & (n >= 1)
@@ -140,7 +177,7 @@ def _ssn(s: Column, key: str) -> Column:
     return F.when(ok, _let(feistel(values, _longs(898, 99, 9999), key, "ssn"), out)).otherwise(s)
 
 
-def _date(s: Column, key: str) -> Column:
+def _date(s: Column, key: Column) -> Column:
     """Year first, or day first, or month first where only that is a date."""
     part = F.split(s, "[-/.]")
     mark = F.regexp_extract(s, "[-/.]", 0)
@@ -162,7 +199,7 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0).cast("long"), lambda a, c: F.when(c.rlike("^[0-9]$"), a * 10 + c.try_cast("long")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
 
 
-def _iban(s: Column, key: str) -> Column:
+def _iban(s: Column, key: Column) -> Column:
     bare = F.regexp_replace(s, " ", "")
     country, body = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
 
@@ -173,32 +210,36 @@ def _iban(s: Column, key: str) -> Column:
         step = lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i"))).otherwise(F.struct(F.concat(acc["out"], F.get(out, acc["i"])).alias("out"), (acc["i"] + 1).alias("i")))
         return F.aggregate(_chars(s), start, step, lambda acc: acc["out"])
 
-    return F.when(_mod97(F.concat(body, F.substring(bare, 1, 4))) == 1, _let(_symbols(body, key, "iban", hexadecimal=False), moved)).otherwise(s)
+    return F.when(_mod97(F.concat(body, F.substring(bare, 1, 4))) == 1, _let(_symbols(body, key, "iban"), moved)).otherwise(s)
 
 
-def _phone(s: Column, key: str) -> Column:
-    """The country code stays; in ten-digit numbers neither the first nor the fourth digit becomes 0 or 1."""
-    code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(s, F.length(code) + 1, F.length(s))
+def _phone(s: Column, key: Column) -> Column:
+    """The country code stays, and a 0 that stands for it; in ten-digit numbers neither the first nor the fourth digit
+    becomes 0 or 1."""
+    word = F.regexp_extract(s, r"^\D*?(?=[+(]*\d|\+)", 0)
+    number = F.substring(s, F.length(word) + 1, F.length(s))
+    bare = F.regexp_replace(number, r"[^+\d]", "")
+    code = F.coalesce(F.when(bare.startswith("+"), F.substring(F.regexp_extract(bare, COUNTRY, 0), F.lit(2), F.lit(3))).when(bare.startswith("0"), F.lit("0")), F.lit(""))
 
-    def moved(d: Column) -> Column:
+    def moved(every: Column) -> Column:
+        lead = F.slice(every, F.lit(1), F.length(code))
+        d = F.slice(every, F.length(code) + 1, F.size(every))
         north = (F.size(d) == 10) & (F.get(d, F.lit(0)) > 1) & (F.get(d, F.lit(3)) > 1)
         low = lambda i: F.when(north & i.isin(0, 3), 2).otherwise(0)
         new = feistel(F.transform(d, lambda x, i: x - low(i)), F.transform(d, lambda x, i: F.when(north & i.isin(0, 3), 8).otherwise(10).cast("long")), key, "phone")
-        return F.when(F.size(d).between(7, 15), F.concat(code, _laid_out(rest, F.transform(new, lambda x, i: x + low(i))))).otherwise(s)
+        return F.when(F.size(d).between(7, 14), F.concat(word, _laid_out(number, F.concat(lead, F.transform(new, lambda x, i: x + low(i)))))).otherwise(s)
 
-    return _let(_digits(rest), moved)
+    return _let(_digits(number), moved)
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of a value of one of the formats; what does not validate stays as it is."""
     full = lambda p: value.rlike(f"^(?:{p})$")
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     name = F.regexp_extract(value, r"^(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?", 0)
     return (
-        F.when(full(EMAIL), F.concat(_symbols(local, key, "email"), F.lit("@"), domain))
+        F.when(full(EMAIL), _email(value, key))
         .when(full(KEY_ID), F.concat(F.substring(value, 1, 4), _symbols(F.substring(value, F.lit(5), F.length(value)), key, "key_id")))
-        .when(full(SECRET), F.concat(name, _symbols(F.substring(value, F.length(name) + 1, F.length(value)), key, "secret")))
+        .when(full(SECRET), F.concat(name, _secret(F.substring(value, F.length(name) + 1, F.length(value)), key)))
         .when(full(IPV4), _ipv4(value, key))
         .when(full(KINDS["date"]), _date(value, key))
         .when(full(SSN), _ssn(value, key))
@@ -224,13 +265,17 @@ def found(text: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced and their number in ``n_pseudonyms`` (replaced if present).
 
-    A null text stays null with 0, an empty one stays empty. Texts of any length are read whole; all other columns
-    and rows stay as they are.
+    A null text stays null with 0, an empty one stays empty; an empty table stays empty. Texts of any length are read
+    whole; all other columns and rows stay as they are, repeated ones too. Where formats overlap, the leftmost value
+    counts, and of those that begin at one place the first format. The key reaches the plan as a subquery's result, so
+    no explanation of it and no event log shows it.
     """
     text = F.col(text_col)
-    rows = docs.withColumn("__found", found(text))
-    new = rows.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found_col, new_col, key_col = spare(docs, "found", "new", "key")
+    secret = docs.sparkSession.sql("SELECT max(k) AS k FROM VALUES (:key) AS t(k)", {"key": key}).scalar()
+    rows = docs.withColumn(found_col, found(text)).withColumn(key_col, secret)
+    new = rows.withColumn(new_col, F.transform(found_col, lambda m: pseudonym(m, F.col(key_col))))
     # The text between the values, each but the last followed by the pseudonym of the value after it.
-    joined = F.array_join(F.zip_with(F.split(text, FOUND, -1), "__new", lambda between, p: F.concat(between, F.coalesce(p, F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col("__found").alias("old"), F.col("__new").alias("new")), lambda x: x["old"] != x["new"]))
-    return new.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text)).withColumn("n_pseudonyms", F.coalesce(changed, F.lit(0)).cast("long")).drop("__found", "__new")
+    joined = F.array_join(F.zip_with(F.split(text, FOUND, -1), new_col, lambda between, p: F.concat(between, F.coalesce(p, F.lit("")))), "")
+    changed = F.size(F.filter(F.arrays_zip(F.col(found_col).alias("old"), F.col(new_col).alias("new")), lambda x: x["old"] != x["new"]))
+    return new.withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).withColumn("n_pseudonyms", F.coalesce(changed, F.lit(0)).cast("long")).drop(found_col, new_col, key_col)
