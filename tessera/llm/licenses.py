@@ -7,9 +7,14 @@ each line, since documents also carry one-line notices.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import spare
+
 # Equivalent spellings, after lower-casing.
 SPELLINGS = [
     (r"licence", "license"), (r"licencing", "licensing"), (r"sub-licens", "sublicens"), (r"organisation", "organization"), (r"authoris", "authoriz"),
@@ -34,6 +39,8 @@ LICENSES = [
     ("MIT", "MIT License\n" + _MIT), ("MIT", _MIT), ("ISC", "ISC License\n" + _ISC), ("ISC", _ISC),
     ("BSD-2-Clause", "\n".join([_BSD_HEAD, _BSD_1, _BSD_2, _BSD_END])),
     ("BSD-3-Clause", "\n".join([_BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_END])),
+    # The public texts of longer licences, a file each.
+    *[(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))],
 ]
 NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "This project is licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -60,27 +67,33 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """``digest, license`` of the given texts, one row a digest; the first of two licences with one digest wins."""
+    """``digest, size, license`` of the given texts, one row a digest; the first of two licences with one digest wins.
+
+    ``size`` is the canonical text's length. Texts without words have the digest of the empty text; no texts, no rows.
+    """
     rows = [(i, a, b) for i, (a, b) in enumerate(texts)]
-    got = spark.createDataFrame(rows, "i int, license string, text string").select("i", "license", F.md5(canonical(F.col("text"))).alias("digest"))
-    return got.groupBy("digest").agg(F.min_by("license", "i").alias("license"))
+    got = spark.createDataFrame(rows, "i int, license string, text string").select("i", "license", canonical(F.col("text")).alias("text"))
+    return got.groupBy(F.md5("text").alias("digest"), F.length("text").alias("size")).agg(F.min_by("license", "i").alias("license"))
 
 
-def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame, *, text_col: str = "text", longest_notice: int = 400, max_notices: int = 10_000) -> DataFrame:
+def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame, *, text_col: str = "text", max_notices: int = 10_000) -> DataFrame:
     """``docs`` with ``text_digest``, ``license`` and ``notices`` (columns of these names replaced).
 
-    ``licenses`` and ``notices`` are ``digest, license``. ``license`` is that of the entire text, or null;
-    ``notices`` are the distinct licences of its lines, sorted. Null, empty and blank texts have the digest of the
-    empty text and no licence. Lines whose canonical form is longer than ``longest_notice`` are no notices. More than
-    ``max_notices`` notice digests raise ValueError, since they go to every task; licences are joined.
+    ``licenses`` and ``notices`` are as ``known`` makes them. ``license`` is that of the entire text, or null; it comes
+    from a join of digests. ``notices`` are the distinct licences of its lines, sorted; lines of any length are looked
+    up, if some notice is as long. Null, empty and blank texts have the digest of the empty text, no licence and no
+    notices. Every row stays, repeated ones too; an empty table stays empty. More than ``max_notices`` notice digests
+    raise ValueError, since they go to every task.
     """
     rows = notices.orderBy("digest").limit(max_notices + 1).collect()
     if len(rows) > max_notices:
         raise ValueError(f"more than {max_notices} notices")
-    of_line = F.from_json(F.lit("{%s}" % ",".join(f'"{r["digest"]}":"{r["license"]}"' for r in rows)), "map<string,string>")
-    out = docs.drop("text_digest", "license", "notices").withColumn("__lines", canonical_lines(F.col(text_col)))
-    short = F.filter("__lines", lambda line: F.length(line) <= longest_notice)
-    named = F.array_sort(F.array_distinct(F.array_compact(F.transform(short, lambda line: F.element_at(of_line, F.md5(line))))))
-    out = out.withColumn("text_digest", F.md5(F.array_join("__lines", " "))).withColumn("notices", named).drop("__lines")
-    whole = licenses.select(F.col("digest").alias("__digest"), "license").where(F.col("__digest") != F.md5(F.lit("")))
-    return out.join(whole, F.col("text_digest") == F.col("__digest"), "left").drop("__digest")
+    of_line = F.from_json(F.lit(json.dumps({r["digest"]: r["license"] for r in rows})), "map<string,string>")
+    sizes = sorted({r["size"] for r in rows})
+    lines, digest = spare(docs, "lines", "digest")
+    out = docs.drop("text_digest", "license", "notices").withColumn(lines, canonical_lines(F.col(text_col)))
+    asked = F.filter(lines, lambda line: F.length(line).isin(sizes))
+    named = F.array_sort(F.array_distinct(F.array_compact(F.transform(asked, lambda line: F.element_at(of_line, F.md5(line))))))
+    out = out.withColumn("text_digest", F.md5(F.array_join(lines, " "))).withColumn("notices", named).drop(lines)
+    whole = licenses.select(F.col("digest").alias(digest), "license").where(F.col(digest) != F.md5(F.lit("")))
+    return out.join(whole, F.col("text_digest") == F.col(digest), "left").drop(digest)

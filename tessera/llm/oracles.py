@@ -70,7 +70,7 @@ d AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
 w AS (SELECT doc_id, lines, md5(array_to_string(lines, ' ')) AS text_digest FROM d),
 u AS (SELECT doc_id, unnest(lines) AS line FROM d),
 m AS (SELECT u.doc_id, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices
-      FROM u JOIN n ON n.digest = md5(u.line) WHERE length(u.line) <= 400 GROUP BY u.doc_id)
+      FROM u JOIN n ON n.digest = md5(u.line) GROUP BY u.doc_id)
 SELECT w.doc_id, w.text_digest, l.license, coalesce(m.notices, '') AS notices
 FROM w LEFT JOIN l ON l.digest = w.text_digest AND w.text_digest <> md5('') LEFT JOIN m ON m.doc_id = w.doc_id
 """
