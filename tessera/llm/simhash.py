@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,22 +122,94 @@ def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.where("ghost = 0").drop("block", "rn", "ghost")
 
 
-def near_pairs(prints: DataFrame, radius: int = 6, *, spare: int = 2) -> DataFrame:
-    """All pairs of different fingerprints within ``radius`` bits: ``a1, b1, a2, b2, distance`` with (a1, b1) first.
+def _tables(prints: DataFrame, radius: int, spare: int) -> DataFrame:
+    """``fp_a, fp_b, key``: each distinct fingerprint in each permuted table, keyed by the table and its bits.
 
-    The bits are cut into ``radius + spare`` blocks. Two fingerprints within the radius agree in at least ``spare``
-    of them, so each choice of that many blocks is a table keyed by those bits, and one of the tables has the pair.
-    Equal fingerprints are one class beforehand; null ones take no part.
+    The 128 bits are cut into ``radius + spare`` blocks. Two fingerprints within the radius agree in at least ``spare``
+    of them, so each choice of that many blocks is a table, and one of the tables has the pair.
     """
     n = radius + spare
     if not 1 <= spare <= n <= 64:
         raise ValueError("radius + spare must lie between 1 and 64")
     own = prints.where("fp_a is not null and fp_b is not null").select("fp_a", "fp_b").distinct()
-    bits = F.concat(F.lpad(F.bin("fp_a"), 64, "0"), F.lpad(F.bin("fp_b"), 64, "0"))
+    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.xxhash64(*[_masked(F.col("fp_a"), F.col("fp_b"), m) for m in chosen]).alias("bits")) for k, chosen in enumerate(itertools.combinations(_masks(n), spare))])
+    return own.select("fp_a", "fp_b", F.explode(tables).alias("key"))
+
+
+def _masks(n: int) -> list[tuple[int, int]]:
+    """The two longs' masks of each of ``n`` blocks of the 128 bits."""
     edge = [128 * i // n for i in range(n + 1)]
-    part = [F.substring(F.col("__bits"), edge[i] + 1, edge[i + 1] - edge[i]) for i in range(n)]
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.concat(*[part[i] for i in chosen]).alias("bits")) for k, chosen in enumerate(itertools.combinations(range(n), spare))])
-    keyed = own.withColumn("__bits", bits).select("fp_a", "fp_b", F.explode(tables).alias("key"))
+    out = []
+    for lo, hi in zip(edge, edge[1:]):
+        bits = ((1 << hi) - 1) ^ ((1 << lo) - 1)
+        out.append((bits & ((1 << 64) - 1), bits >> 64))
+    return out
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _masked(a: Column, b: Column, mask: tuple[int, int]) -> Column:
+    parts = [c.bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip((a, b), mask) if m]
+    return parts[0] if len(parts) == 1 else F.struct(*parts)
+
+
+def _first_table(x: Column, y: Column, n: int, spare: int) -> Column:
+    """The number of the first table in which two fingerprints meet, from the differing bits ``x, y``."""
+    equal = []
+    for a, b in _masks(n):
+        parts = [c.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0 for c, m in ((x, a), (y, b)) if m]
+        equal.append(reduce(Column.__and__, parts))
+    out = F.lit(None).cast("int")
+    for k, chosen in reversed(list(enumerate(itertools.combinations(range(n), spare)))):
+        out = F.when(reduce(Column.__and__, [equal[i] for i in chosen]), k).otherwise(out)
+    return out
+
+
+def near_counts(prints: DataFrame, radius: int = 6, *, spare: int = 2, block: int = 256) -> DataFrame:
+    """``fp_a, fp_b, n_near``: of each distinct fingerprint, how many other ones lie within ``radius`` bits.
+
+    Every pair is counted in the first permuted table in which it meets. A key's fingerprints are cut into blocks of
+    about ``block`` by hash, and each pair of blocks is compared within one row's arrays, so no pair becomes a row and
+    no group is larger than two blocks, however many fingerprints share a key. Null fingerprints take no part; an empty
+    table gives no rows.
+    """
+    n = radius + spare
+    keyed = _tables(prints, radius, spare)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size >= 2")
+    rows = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("fp_a", "fp_b", "key.table"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.struct("fp_a", "fp_b")
+    groups = rows.groupBy("key", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y")).agg(
+        F.collect_list(F.when(F.col("at") <= F.col("other"), side)).alias("left"), F.collect_list(F.when(F.col("at") >= F.col("other"), side)).alias("right")
+    )
+    table = F.col("key.table")
+
+    def near(a: Column, b: Column) -> Column:
+        x, y = a["fp_a"].bitwiseXOR(b["fp_a"]), a["fp_b"].bitwiseXOR(b["fp_b"])
+        bits = F.bit_count(x) + F.bit_count(y)
+        return (bits > 0) & (bits <= radius) & (_first_table(x, y, n, spare) == table)
+
+    def counted(some: str, others: str) -> Column:
+        found = F.transform(some, lambda a: F.struct(a["fp_a"].alias("fp_a"), a["fp_b"].alias("fp_b"), F.size(F.filter(others, lambda b: near(a, b))).alias("n")))
+        return F.filter(found, lambda f: f["n"] > 0)
+
+    # A block with itself has each pair on both sides already.
+    both = F.when(F.col("x") == F.col("y"), counted("left", "right")).otherwise(F.concat(counted("left", "right"), counted("right", "left")))
+    found = groups.select(F.explode(both).alias("f")).groupBy("f.fp_a", "f.fp_b").agg(F.sum("f.n").alias("n"))
+    own = prints.where("fp_a is not null and fp_b is not null").select("fp_a", "fp_b").distinct()
+    return own.join(found.toDF("__a", "__b", "n"), (F.col("fp_a") == F.col("__a")) & (F.col("fp_b") == F.col("__b")), "left").select("fp_a", "fp_b", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"))
+
+
+def near_pairs(prints: DataFrame, radius: int = 6, *, spare: int = 2) -> DataFrame:
+    """All pairs of different fingerprints within ``radius`` bits: ``a1, b1, a2, b2, distance`` with (a1, b1) first.
+
+    Pairs meet in the permuted tables. Equal fingerprints are one class beforehand; null ones take no part. The result
+    is as large as there are pairs; where many fingerprints are alike, ``near_counts`` has their numbers alone.
+    """
+    keyed = _tables(prints, radius, spare)
     a, b = keyed.alias("a"), keyed.alias("b")
     before = (F.col("a.fp_a") < F.col("b.fp_a")) | ((F.col("a.fp_a") == F.col("b.fp_a")) & (F.col("a.fp_b") < F.col("b.fp_b")))
     far = distance(F.col("a.fp_a"), F.col("a.fp_b"), F.col("b.fp_a"), F.col("b.fp_b"))
