@@ -108,7 +108,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 6, low: int = 8, bits: int = 7, window: float = 0.14, block: int = 2048, seed: int = 1
+    vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 6, low: int = 8, bits: int = 7, window: float = 0.14, block: int = 2048, most_asked: int = 20_000, seed: int = 1
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found, nearest first, ties to the smaller id.
 
@@ -118,6 +118,9 @@ def search(
     null or non-finite component, take no part as row or query, nor do those of another dimension than most have.
     Repeated rows of one id and vector count once; two vectors under one id are two candidates. An empty table gives
     no rows; other columns are not looked at.
+
+    A task holds one block of vectors and at most about ``most_asked`` queries: more queries are dealt into parts by
+    hash, and each block is scanned once for each part.
     """
     good = usable(vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()), vec_col)
     shape = good.groupBy(F.size(vec_col).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -144,10 +147,12 @@ def search(
     asked = usable(queries.select(id_col, vec_col).where(F.col(id_col).isNotNull()), vec_col, dims).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("vec")).distinct()
     # A query stands where its vector's class stands; equal queries search once.
     asked = materialise(asked.join(own.select("cls", "vec"), "vec").select("query_id", "cls"))
+    parts = max(1, -(-asked.count() // most_asked))
     reach = max(k + 1, int(np.ceil(window * n)))
     at = ranked.join(asked.select("cls").distinct(), "cls").select("curve", "rank", F.col("cls").alias("q"), "vec")
     lo, hi = F.greatest(F.col("rank") - reach, F.lit(0)), F.least(F.col("rank") + reach, F.lit(n - 1))
     spread = at.select(F.col("curve").alias("at_curve"), "q", F.col("vec").alias("qv"), lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))).alias("at_block"))
+    spread = spread.withColumn("at_part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
 
     def scan(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         q, cls, dist = [], [], []
@@ -162,7 +167,8 @@ def search(
                 dist += d[order].tolist()
         return pd.DataFrame({"q": np.array(q, np.int64), "cls": np.array(cls, np.int64), "score": np.array(dist, np.float64)})
 
-    found = ranked.select("curve", "block", "rank", "cls", "vec").groupBy("curve", "block").cogroup(spread.groupBy("at_curve", "at_block")).applyInPandas(scan, "q long, cls long, score double")
+    blocks = ranked.select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rank", "cls", "vec")
+    found = blocks.groupBy("curve", "block", "part").cogroup(spread.groupBy("at_curve", "at_block", "at_part")).applyInPandas(scan, "q long, cls long, score double")
     top = Window.partitionBy("q").orderBy("score", "cls")
     near = found.groupBy("q", "cls").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
     # Each class gives its smallest ids; a query then drops its own.
