@@ -252,21 +252,22 @@ def shared_counts(sketches: pa.ChunkedArray, left: np.ndarray, right: np.ndarray
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, component``: the smallest id that each id of ``edges(a, b)`` reaches.
+    """``id, component``: the smallest id that each id of ``edges(a, b)`` reaches; ``edges`` is best a written table.
 
     Every round maps each id to the smallest in its neighbourhood, twice over, and the edges with it; an edge whose
     ends meet is done. All tables live in the shared folder; nothing but counts comes to the driver.
     """
-    edges = materialise(edges.where("a <> b").select("a", "b").distinct())
-    steps = []
+    edges, steps = edges.where("a <> b").select("a", "b"), []
     while edges.take(1):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        up = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        up = both.groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
         over = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
         jumped = materialise(up.join(over, "p", "left").select("u", F.coalesce("q", "p").alias("p")))
-        steps.append(jumped)
         ends = edges.join(jumped.toDF("a", "x"), "a").join(jumped.toDF("b", "y"), "b").where("x <> y")
-        edges = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if steps:
+            discard(edges)
+        steps, edges = [*steps, jumped], left
     if not steps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = steps[0].toDF("id", "component")
@@ -295,11 +296,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, similar
     members = _members(narrowed(rows, "__id", labels, "id"), "__id", "__text", width, sketch)
     members = materialise(members.join(wanted, ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"))
     for n in pivots:
-        now = listed.join(labels, "id")
-        pairs = materialise(_stars(now, n, similarity))
-        links = _linked(pairs, members, sketch, similarity, deviations)
+        links = _linked(_stars(listed.join(labels, "id"), n, similarity), members, sketch, similarity, deviations)
         labels = _merged(labels, links)
-        discard(pairs, links)
+        discard(links)
     pairs = materialise(_blocked(listed.join(labels, "id"), members, sketch, similarity, deviations, block))
     links = _linked(pairs, members, sketch, similarity, deviations)
     labels = _merged(labels, links)

@@ -150,6 +150,8 @@ def test_neighbours_with_ties_and_bad_vectors(spark):
         d = np.sqrt(((v - v[q]) ** 2).sum(1))
         d[q] = np.inf
         assert [i for _, i, _ in sorted(found)] == sorted(range(300), key=lambda i: (d[i], i))[:10]
+    whole = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0"), window=0.5).collect()}
+    assert whole == {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0"), window=0.5, most_asked=2, block=64).collect()}
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (1, 2, 3)")
     assert ann.search(few, few).count() == 6

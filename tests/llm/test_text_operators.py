@@ -1,9 +1,14 @@
+import math
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, licenses, mixing, packing, pii, simhash, toxicity
+from tessera.llm.queries import QUERIES
 
 
 def words_tokenizer():
@@ -113,9 +118,86 @@ def test_toxicity(spark, odd_docs, empty):
     given = toxicity.train(empty.withColumn("toxic", F.lit(1)))
     assert toxicity.score(odd_docs, given).where("predicted = 0").count() == odd_docs.count() and toxicity.score(empty, given).count() == 0
     grammar = toxicity.Grammar(given)
-    plain, negated, said, aimed = (grammar.clause_weight(t) for t in ("what an idiot", "not an idiot", "she said idiot", "you idiot"))
-    assert negated < said < plain < aimed
-    assert toxicity.matches(spark.createDataFrame([(1, "Fine. You idiot! Fine"), (2, None)], "doc_id long, text string"), given).first()["clause"] == " you idiot"
+    plain, negated, said, aimed, twice = (grammar.clause_weight(t) for t in ("what an idiot", "not an idiot", "it said idiot", "you idiot", "a stupid idiot"))
+    assert negated < said < plain < aimed < twice
+    threat, empty_threat, no_threat = (grammar.clause_weight(t) for t in ("we kill you", "we kill time", "we never kill you"))
+    assert no_threat < threat and empty_threat < threat and threat > plain
+    got = toxicity.matches(spark.createDataFrame([(1, "Fine. You idiot! Fine"), (2, None)], "doc_id long, text string"), given).collect()
+    assert [(r["clause"], r["pattern"]) for r in got] == [(" you idiot", "target insult")]
+    assert toxicity.matches(empty, given).count() == 0
+
+
+def by_hand(model, text):
+    """Evidence of a text by plain search in each clause's words, without tries or machines."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        weight = [model.words[w] if w in model.words else max([model.stems[w[:n]] for n in range(1, len(w) + 1) if w[:n] in model.stems], default=0.0) for w in words]
+        kind = ["threat" if h > 0 and w in toxicity.THREATS else "insult" if h > 0 else next((k for k, ws in (("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) if w in ws), "") for w, h in zip(words, weight)]
+        if not any(h > 0 for h in weight):
+            continue
+
+        def near(i, what, closed_by=None):
+            for j in range(i - 1, max(-1, i - 4), -1):
+                if kind[j] == what:
+                    return True
+                if closed_by and kind[j] == closed_by:
+                    return False
+            return False
+
+        for i, k in enumerate(kind):
+            given = 0.0
+            if k == "insult":
+                given = weight[i] * (1.0 if near(i, "insult", "target") else 0.8) * (1.5 if near(i, "target") else 1.0)
+            elif k == "threat":
+                given = weight[i] * 0.2 * (1.5 if near(i, "target") else 1.0)
+            elif k == "target":
+                given = 0.5 * near(i, "insult", "target") + 1.0 * near(i, "threat", "target")
+            total += given * (0.3 if near(i, "negation") else 1.0) * (0.5 if "report" in kind[:i] else 1.0)
+    return math.log1p(total)
+
+
+def test_composed_machine_reads_like_a_plain_search(spark, docs):
+    rng = random.Random(6)
+    model = toxicity.ToxicityModel({"idiot": 2.0, "kill": 3.0, "loser": 1.0, "hurt": 1.5}, {"grumb": 1.2, "grumble": 0.7})
+    words = "idiot kill loser hurt grumbles grumbly you them not never said reported the a house idiots x1y . ! ; \n ,".split(" ")
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(1500)] + [None, "", "idiot " * 30_000, "a" * 100_000, "you idiot " * 20_000 + "."]
+    grammar = toxicity.Grammar(model)
+    assert all(abs(grammar.evidence(t) - by_hand(model, t)) < 1e-9 for t in texts)
+    held = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", toxicity.evidence(F.col("text"), model).alias("x")).collect()}
+    assert all(abs(got[r["doc_id"]] - by_hand(model, r["text"])) < 1e-9 for r in held)
+
+
+def test_toxicity_over_empty_partitions_null_ids_and_repeats(spark):
+    rows = [(None if i % 3 else i, f"You are a grumblefink{i % 4}. w{i}" if i % 2 else f"The end w{i}", i % 2, "s") for i in range(60)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string").repartition(400)
+    model = toxicity.train(df, max_rows=1000)
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 240 and all(r["predicted"] == r["toxic"] for r in got)
+    assert toxicity.matches(df, model).count() == 120
+
+
+def test_toxicity_on_held_out_rows(spark, small):
+    folder = small.replace("sf0.001", "sf0.01")
+    got = QUERIES["op2_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = [[r["predicted"] for r in got if r["toxic"] == y] for y in (1, 0)]
+    assert len(toxic) >= 10 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_language_contract(spark, small):
+    texts = ["² ½ ³", "१२", "№ ٣", "a²", "中文", None, ""]
+    model = langid.train(spark.createDataFrame([(None, f"the quick brown fox {i}", "en") for i in range(40)] + [(i, "der schnelle braune fuchs", "de") for i in range(40)], "doc_id long, text string, lang string"))
+    assert [k for k, _ in model.dictionaries] == ["de", "en"]
+    got = [r["lang_pred"] for r in langid.identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert [x == "und" for x in got] == [True, True, True, False, False, True, True]
+
+
+def test_language_on_held_out_rows(spark, small):
+    folder = small.replace("sf0.001", "sf0.01")
+    got = QUERIES["op9_language_id"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
+    told = [r["lang_pred"] == r["lang"] for r in got if r["lang"] is not None and r["lang_pred"] != "und"]
+    assert len(told) >= 150 and sum(told) >= 0.97 * len(told)
 
 
 def luhn(s):
@@ -156,9 +238,48 @@ def test_cards_beside_short_numbers(spark):
     assert got == [f"{card} 123", f"{card} 12/27", f"{spelled} 123", "12 " + spelled.replace(" ", "-"), card, texts[5]]
 
 
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def test_spellings_of_one_value_stay_linked(spark):
+    phones = replaced(spark, ["+49 30 1234567", "+493012 34567", "+49-30-123-4567", "030 1234567", "(030) 1234567", "030/1234567", "Tel: 030 123 4567"])
+    digits = ["".join(c for c in x if c.isdigit()) for x in phones]
+    assert digits[0].startswith("49") and len({x.removeprefix("49") if i < 3 else x.removeprefix("0") for i, x in enumerate(digits)}) == 1 and "1234567" not in "".join(digits) and phones[6].startswith("Tel: 0")
+    a, b, c, d = replaced(spark, ["Anna.Bo7@Example.org", "anna.bo7@example.org", "café@example.com", "x@bücher.example.com"])
+    assert a.lower() == b != "anna.bo7@example.org" and a[0].isupper() and b.endswith(".org") and "café" not in c and "bücher" not in d
+    a, b = replaced(spark, ["token=deadbeef01", "token=DEADBEEF01"])
+    assert a.lower() == b.lower() != "token=deadbeef01" and b[6:].upper() == b[6:]
+    a, b = replaced(spark, ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"])
+    assert a.replace(" ", "") == b
+
+
+def test_plain_numbers_stay(spark):
+    texts = ["rows 10 200 300 of 12 345 678 900", "1 234 567", "2001 2002 2003 2004", "3.141.592.653", "v1.2.3", "10-20-30", "08 30 45", "pages 100-200", "5551234567", "1999-2000 2001"]
+    assert replaced(spark, texts) == texts
+
+
+def test_adjacent_values_are_found_apart(spark):
+    a, b, c = replaced(spark, ["+1 (980) 555-6268 151.159.223.204", "+1 (980) 555-6268", "151.159.223.204"])
+    assert a == f"{b} {c}"
+
+
+def test_long_text_clashing_names_and_a_key_out_of_sight(spark, capsys):
+    long = "word " * 60_000 + "a.b@example.com " + "1" * 50_000
+    df = spark.createDataFrame([(long, "f", "n", "k", 5), (None, "f", "n", "k", 5)], "text string, __found string, __new string, __key string, n_pseudonyms int")
+    got = pii.pseudonymise(df, "a-very-secret-key")
+    rows = got.collect()
+    assert sorted(got.columns) == sorted(df.columns) and {r["n_pseudonyms"] for r in rows} == {0, 1} and all((r["__found"], r["__new"], r["__key"]) == ("f", "n", "k") for r in rows)
+    new = next(r["text"] for r in rows if r["text"])
+    assert len(new) == len(long) and "a.b@example" not in new and new[:300_000] == long[:300_000]
+    got.explain("extended")
+    assert "a-very-secret-key" not in capsys.readouterr().out
+
+
 def test_pseudonyms_are_a_permutation(spark):
     every = spark.range(1000).select(F.array((F.col("id") / 100).cast("long"), (F.col("id") % 100 / 10).cast("long"), F.col("id") % 10).alias("v"))
-    assert every.select(pii.feistel(F.col("v"), F.array(*[F.lit(10).cast("long")] * 3), "k", "t").alias("x")).distinct().count() == 1000
+    assert every.select(pii.feistel(F.col("v"), F.array(*[F.lit(10).cast("long")] * 3), F.lit("k"), "t").alias("x")).distinct().count() == 1000
 
 
 def test_licences(spark, odd_docs, empty):
@@ -167,6 +288,15 @@ def test_licences(spark, odd_docs, empty):
     l, n = licenses.known(spark, licenses.LICENSES), licenses.known(spark, licenses.NOTICES)
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), l, n).collect()}
     assert (got[1]["license"], got[2]["license"], got[3]["license"], got[3]["notices"], got[4]["notices"]) == (name, None, None, ["Apache-2.0"], [])
+    texts = {k: t for k, t in licenses.LICENSES}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} == set(texts)
+    planted = [(i, ("\n\n* " + t.replace("license", "licence").upper().replace(", ", " ,\n")) if i % 2 else t + "  \n", "x") for i, t in enumerate(texts.values())]
+    planted += [(100 + i, t[: len(t) // 2], "x") for i, t in enumerate(texts.values())]
+    got = licenses.scan(spark.createDataFrame(planted, "doc_id long, text string, license string"), l, n).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == [*texts, *[None] * len(texts)]
+    odd = licenses.known(spark, [('A "quoted" \\ name', "long notice " * 90)])
+    row = licenses.scan(spark.createDataFrame([(1, "one\n" + "long notice " * 90 + "\ntwo")], "doc_id long, text string"), l, odd).first()
+    assert row["notices"] == ['A "quoted" \\ name']
     assert licenses.scan(odd_docs, l, n).where("license is null").count() == 9 and licenses.scan(empty, l, n).count() == 0
 
 
@@ -185,3 +315,26 @@ def test_simhash_edges_and_neighbours(spark, odd_docs, empty):
     want = {(p, q) for p in prints for q in prints if p < q and near(p, q)}
     rows = simhash.near_pairs(spark.createDataFrame([*prints, *prints, (None, 1)], "fp_a long, fp_b long"), 6).collect()
     assert {((r["a1"], r["b1"]), (r["a2"], r["b2"])) for r in rows} == want
+    table = spark.createDataFrame([*prints, *prints, (None, 1)], "fp_a long, fp_b long")
+    number = {p: sum(p in pair for pair in want) for p in prints}
+    for block in (3, 256):
+        got = simhash.near_counts(table, 6, block=block).collect()
+        assert {(r["fp_a"], r["fp_b"]): r["n_near"] for r in got} == number and len(got) == len(prints)
+    assert simhash.near_counts(table.limit(0), 6).count() == 0
+
+
+def test_bits_are_weighted_votes(spark, docs):
+    """The fingerprint's bits, counted word by word from the terms' hashes."""
+    rows = docs.select("doc_id", F.transform(simhash.terms(F.col("text")), lambda t: F.struct(F.xxhash64(t, F.lit(1)).alias("a"), F.xxhash64(t, F.lit(2)).alias("b"), F.least(F.length(t), F.lit(simhash.HEAVIEST)).alias("w"))).alias("t")).collect()
+    want = {}
+    for r in rows:
+        bits = []
+        for name in "ab":
+            out = 0
+            for bit in range(64):
+                votes = sum(t["w"] if t[name] >> bit & 1 else -t["w"] for t in r["t"])
+                out |= (votes > 0) << bit
+            bits.append(out - (1 << 64) if out >= 1 << 63 else out)
+        want[r["doc_id"]] = tuple(bits)
+    got = {r["doc_id"]: (r["fp_a"], r["fp_b"]) for r in simhash.edited_neighbours(docs).collect()}
+    assert got == want
