@@ -15,7 +15,11 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; ``lang`` becomes what was found."""
+    """Documents whose language is told apart; ``lang`` becomes what was found.
+
+    Null texts and texts without letters are rejected. Rows of null id and repeated rows are judged like others; without
+    any labelled row all are rejected. An empty table stays empty; columns beside those of documents go.
+    """
     bounded_batches(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"))
     got = langid.identify_languages(docs.select(*COLUMNS), model)
@@ -33,12 +37,19 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
+    """All documents, personal data replaced by pseudonyms and ``n_chars`` counted anew.
+
+    Null and empty texts stay, rows of null id and repeated rows too; columns beside those of documents go.
+    """
     return pii.pseudonymise(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; those that it does not take go.
+
+    A null source is one like any other, a null id a bucket of its own; repeated rows are taken each. A text without
+    words has size 0 and follows its bucket. An empty table stays empty; columns beside those of documents go.
+    """
     sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size"))
     small = materialise(sized.select("doc_id", "source", "size"))
     sources = materialise(mixing.cycled_weights(mixing.sources_of(small), SOURCE_WEIGHTS))
@@ -47,7 +58,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as packed pieces of token ids."""
+    """The mix as packed pieces of token ids.
+
+    Null and empty texts are one end token; rows of null id and repeated rows are packed each. An empty table gives no
+    pieces.
+    """
     bounded_batches(spark)
     return packing.pack(docs, word_tokenizer(), size=2048, end_id=1)
 
@@ -62,7 +77,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each over what the one before it wrote."""
+    """All stages over ``documents``, each over what the one before it wrote.
+
+    Nulls, ties, repeated rows and empty tables fare as each stage says; extra columns go in the first.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
