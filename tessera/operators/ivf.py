@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -185,6 +187,26 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return per.agg(F.avg(F.col("hits") / F.greatest("n", F.lit(1))).alias("macro"), (F.sum("hits") / F.sum("n")).alias("micro"))
 
 
+def benchmark(index: Ivf, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> dict[str, float | None]:
+    """Milliseconds a query of the exact and the probed search, how many times faster the latter is (None if it took
+    no time), and its macro and micro recall."""
+    n = max(queries.count(), 1)
+
+    def timed(action) -> tuple[list, float]:
+        began = time.perf_counter()
+        return action(), (time.perf_counter() - began) * 1000 / n
+
+    truth, exact_ms = timed(lambda: brute_force(index, queries, k).collect())
+    found, ivf_ms = timed(lambda: search(index, queries, k, nprobe).collect())
+    want: dict = {r["query_id"]: set() for r in truth}
+    for r in truth:
+        want[r["query_id"]].add(r["id"])
+    hits = Counter(r["query_id"] for r in found if r["id"] in want.get(r["query_id"], ()))
+    macro = sum(hits[q] / max(len(ids), 1) for q, ids in want.items()) / max(len(want), 1)
+    micro = sum(hits.values()) / max(len(truth), 1)
+    return {"exact_ms_per_query": exact_ms, "ivf_ms_per_query": ivf_ms, "speedup": exact_ms / ivf_ms if ivf_ms else None, "recall_macro": macro, "recall_at_10": micro}
+
+
 def save(index: Ivf, path: str) -> None:
     """``centroids``, ``postings`` (partitioned by cell, so a probe prunes) and ``meta`` below ``path``."""
     spark = index.postings.sparkSession

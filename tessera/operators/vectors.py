@@ -140,6 +140,11 @@ def _best(rows: DataFrame, part: list, k: int, metric: str, dims: int, block: in
     return rows.mapInPandas(run, schema)
 
 
+def shuffled(rows: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
+    """The rows in a seeded order by hash, ties by id: a permutation that reruns agree on."""
+    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+
+
 def delete(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select("id").distinct(), "id", "left_anti")
 

@@ -117,3 +117,12 @@ def test_index_over_empty_partitions(spark):
 
     assert near(ivf.search(index, q, 12)) == near(ivf.brute_force(index, q, 12)) and len(index.centroids) == 3
     assert sorted(map(tuple, ivf.retrain(index).centroids)) == sorted(map(tuple, index.centroids))
+
+
+def test_benchmark_and_shuffle(spark):
+    v, df = data(spark, 40)
+    index = ivf.train(df.select("id", "values"), IvfConfig(nlist=4, nprobe=4))
+    got = ivf.benchmark(index, df.where("id < 5").select(F.col("id").alias("query_id"), "values"), 3)
+    assert got["recall_macro"] == got["recall_at_10"] == 1 and got["speedup"] > 0
+    a, b = ([r["id"] for r in vectors.shuffled(df, s).collect()] for s in (1, 2))
+    assert a != b and sorted(a) == sorted(b) == list(range(40)) and a == [r["id"] for r in vectors.shuffled(df.repartition(5), 1).collect()]
