@@ -46,10 +46,10 @@ def _insult(state: int, symbol: int) -> tuple[int, float]:
 
 
 def _threat(state: int, symbol: int) -> tuple[int, float]:
-    """A fifth of a threat's weight until its target follows within reach, which adds 1."""
+    """A fifth of a threat's weight until its target follows within reach, which adds 2."""
     if symbol == THREAT:
         return REACH, 0.2
-    return max(0, state - 1) if symbol != TARGET else 0, 1.0 if symbol == TARGET and state else 0.0
+    return max(0, state - 1) if symbol != TARGET else 0, 2.0 if symbol == TARGET and state else 0.0
 
 
 def _target(state: int, symbol: int) -> tuple[int, float]:
@@ -168,14 +168,14 @@ def _features(text: str) -> set[str]:
 
 
 def train(
-    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 4.0, seed: int = 2
+    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 2.0, min_precision: float = 0.9, seed: int = 2
 ) -> ToxicityModel:
     """Learn entry weights and the score's scale from at most about ``max_rows`` labelled rows.
 
     The sample keeps the rows whose hash of id and text is below the share that gives ``max_rows``, repeated ones once.
     Rows with a null text or label teach nothing; a null id is one like any other. An entry is a word, or a stem of 4 to 6 letters, that at least ``min_docs`` toxic rows and
     ``min_share`` of them have (groups of copies alone do not make one) and whose smoothed log odds are at least
-    ``min_weight``; at most ``max_entries`` entries are kept, heaviest first, and none that another kept one covers. Without rows of both labels, so for an empty table, the given words
+    ``min_weight``, if ``min_precision`` of the rows that have it are toxic; at most ``max_entries`` entries are kept, heaviest first, and none that another kept one covers. Without rows of both labels, so for an empty table, the given words
     alone make the model.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y"))
@@ -209,7 +209,7 @@ def train(
         return given
     weight = F.log((F.col("toxic") + 0.5) / (every["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / (every["clean"] + 1.0))
     entries = counts.where((F.col("f") != "") & (F.col("toxic") >= min_share * every["toxic"])).withColumn("w", weight)
-    found = entries.where(F.col("w") >= min_weight).orderBy(F.desc("w"), "f").limit(max_entries).collect()
+    found = entries.where((F.col("w") >= min_weight) & (F.col("toxic") >= min_precision * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("w"), "f").limit(max_entries).collect()
     share = {r["f"].rstrip("*"): 0 for r in found}
     for r in found:
         share[r["f"].rstrip("*")] = max(share[r["f"].rstrip("*")], r["toxic"])
