@@ -143,6 +143,7 @@ ORACLES = {
     "kv_ttl_live_keys": f"WITH {_state(AS_OF)} SELECT key FROM state",
     "kv_get_batch": f"""WITH {_state(AS_OF)}, a AS (SELECT event_id AS seq, 'user:' || user_id || CASE WHEN event_id % 7 = 0 THEN ':none' ELSE '' END AS key FROM events)
 SELECT a.seq, a.key, s.key IS NOT NULL AS found, s.value FROM a LEFT JOIN state s ON s.key = a.key""",
+    "kv_lines_replay": f"WITH {_state(AS_OF)} SELECT key, value, ts_ms FROM state",
     "kv_exists_batch": f"WITH {_state(AS_OF)}, {KEYS} SELECT key FROM keys SEMI JOIN state USING (key)",
     "kv_delete_existed": f"""WITH {LOG_CLEARS}, p AS (SELECT seq, key, op, lag(op) OVER w AS was, lag(seq) OVER w AS at FROM log WHERE op <> 'CLEAR' WINDOW w AS (PARTITION BY key ORDER BY seq))
 SELECT seq, key, coalesce(was = 'SET' AND NOT EXISTS (SELECT 1 FROM log c WHERE c.op = 'CLEAR' AND c.seq > p.at AND c.seq < p.seq), false) AS existed FROM p WHERE op = 'DELETE'""",
@@ -158,6 +159,8 @@ SELECT n.node_id, count(p.key) AS key_count, coalesce(string_agg(p.key, ',' ORDE
 SELECT node_id, count(*) AS key_count FROM placed GROUP BY node_id""",
     "ring_failover": f"WITH {KEYS}, {_ring('r', "['node-1', 'node-3']")}, {_placed('placed', 'keys', 'r')} SELECT key, node_id FROM placed",
     "ring_moved_keys": f"""WITH {KEYS}, {_ring('r', THREE)}, {_ring('f', "['node-1', 'node-2', 'node-3', 'node-4']")}, {_placed('a', 'keys', 'r')}, {_placed('b', 'keys', 'f')}
+SELECT key, a.node_id AS node_before, b.node_id AS node_after FROM a JOIN b USING (key) WHERE a.node_id <> b.node_id""",
+    "ring_remove_node": f"""WITH {KEYS}, {_ring('r', THREE)}, {_ring('f', "['node-1', 'node-3']")}, {_placed('a', 'keys', 'r')}, {_placed('b', 'keys', 'f')}
 SELECT key, a.node_id AS node_before, b.node_id AS node_after FROM a JOIN b USING (key) WHERE a.node_id <> b.node_id""",
     "ring_stats": "SELECT 3 AS total_nodes, 2 AS healthy_nodes, 450 AS virtual_nodes",
     "replica_select": f"WITH {KEYS}, {_ring('r', THREE)}, {_placed('placed', 'keys', 'r')}, {TARGETS} SELECT key, node_id, key_hash, array_to_string(chosen, ',') AS targets FROM chosen",
@@ -167,12 +170,18 @@ SELECT r.node_id, r.is_healthy, count(x.seq) AS synced_operations, max(ts_ms) AS
 s AS (SELECT r.node_id, r.is_healthy, coalesce({AS_OF} - arg_max(ts_ms, seq), 0) AS lag FROM {REPLICAS} LEFT JOIN x ON x.node_id = r.node_id GROUP BY r.node_id, r.is_healthy)
 SELECT count(*) AS total_replicas, count(*) FILTER (is_healthy) AS healthy_replicas, round(avg(lag) FILTER (is_healthy), 6) AS average_lag, 0 AS sync_operations, (SELECT count(*) FROM log) AS async_operations FROM s""",
     "replica_recent_ops": f"WITH {LOG}, {_ring('r', THREE)}, {_placed('placed', 'log', 'r')} SELECT seq, op, key, node_id, ts_ms, 2 AS replica_count FROM placed ORDER BY seq DESC LIMIT 10",
+    "replica_log_trim": f"""WITH {LOG}, n AS (SELECT count(*) AS n FROM log)
+SELECT seq, op, key FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS r FROM log), n WHERE r <= CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END""",
+    "replica_membership": """SELECT * FROM (VALUES ('node-1', true, false, 0, 0, 0, 1), ('node-2', true, true, 5, 7, 1, 1), ('node-4', true, false, 0, 12, 3, 1), ('node-5', true, false, 0, 0, 4, 1))
+v(node_id, is_healthy, is_master, replication_lag, synced_ops, insert_ord, failovers)""",
     "replica_promote_master": "SELECT 'node-2' AS node_id, 7 AS synced_ops",
     "lru_access_trace": f"WITH {_lru(50)} SELECT seq, key, hit FROM lru",
     "lru_hit_rate": " UNION ALL ".join(_hit_rate(c) for c in (10, 50, 100)),
     "lru_keys_in_order": "SELECT 'user:' || user_id AS key, max(event_id) AS last_seq FROM events GROUP BY user_id ORDER BY last_seq DESC LIMIT 50",
     "vec_topk_cosine": _top(_cosine("x", "q")),
     "vec_topk_dot": _top(DOT.format(a="x", b="q")),
+    "vec_topk_values": f"""WITH {VECTORS}, q AS (SELECT x AS q FROM v WHERE id = 0)
+SELECT id, round({DOT.format(a='x', b='q')} + 0.0, 6) + 0.0 AS score, len(x) AS dimension, round(x[1], 6) + 0.0 AS first FROM v, q ORDER BY {DOT.format(a='x', b='q')} DESC, id LIMIT 10""",
     "vec_topk_l2": _top(NEGATIVE_L2),
     "vec_topk_batch": f"WITH {VECTORS}, {QV}, {_batch('b', _cosine('x', 'q'), 5)} SELECT query_id, rank, id, round(score, 6) AS score FROM b",
     "vec_topk_filtered": _top(_cosine("x", "q"), "label = 3", 5, ", '{\"label\":' || label || '}' AS metadata"),
@@ -188,10 +197,13 @@ SELECT cell_id, count(*) AS n, (d - 1)::INT AS d, round(avg(y), 6) + 0.0 AS x FR
 p AS (SELECT t.query_id, count(b.id) AS hits, count(*) AS n FROM t LEFT JOIN b ON b.query_id = t.query_id AND b.id = t.id GROUP BY t.query_id)
 SELECT round(avg(hits / n), 6) AS macro, round(sum(hits) / sum(n), 6) AS micro FROM p""",
     "ivf_remove": f"WITH {VECTORS}, {CELLS} SELECT c.cell_id, count(a.id) AS size FROM c LEFT JOIN (SELECT * FROM assigned WHERE id % 4 <> 0) a USING (cell_id) GROUP BY c.cell_id",
+    "ivf_add": f"WITH {VECTORS}, {CELLS} SELECT id, cell_id FROM assigned",
+    "ivf_brute_force": f"WITH {VECTORS}, {QV}, {_batch('b', NEGATIVE_L2, 5)} SELECT query_id, rank, id, round(score, 6) + 0.0 AS score FROM b",
     "ivf_save_load": f"WITH {VECTORS}, {CELLS} SELECT id, cell_id, round(x[1], 6) AS first FROM assigned",
     "lsm_manager_trace": f"""WITH {ENTRIES} SELECT s + 1 AS step, s AS arrived, s = 3 AS compacted, CASE WHEN s = 3 THEN 1 ELSE s + 1 END AS segments,
   CASE WHEN s = 3 THEN (SELECT count(*) FILTER (NOT tombstone) FROM newest) END AS live FROM range(4) t(s)""",
     "lsm_segment_manifest": f"WITH {ENTRIES} SELECT segment_ord, count(*) AS entry_count, min(seq) AS min_seq, max(seq) AS max_seq FROM e GROUP BY segment_ord",
+    "lsm_segment_read": f"WITH {ENTRIES} SELECT id, segment_ord, seq, metadata, tombstone FROM m WHERE id::BIGINT % 3 = 0",
     "lsm_compact": f"WITH {ENTRIES} SELECT id, segment_ord, seq, metadata FROM newest WHERE NOT tombstone",
     "lsm_compact_stats": f"WITH {ENTRIES} SELECT (SELECT count(DISTINCT segment_ord) FROM m) AS input_segments, (SELECT count(*) FROM m) - count(*) AS deduplicated, count(*) FILTER (tombstone) AS dropped_tombstones, count(*) FILTER (NOT tombstone) AS entry_count FROM newest",
     "lsm_memtable": """WITH l AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
@@ -203,6 +215,8 @@ SELECT user_id::VARCHAR AS id, m AS metadata, event_id AS seq, event_type = 'err
 r AS (SELECT (SELECT count(*) FROM calls WHERE NOT ok) AS retries, (SELECT count(*) FROM changes WHERE is_healthy) AS recoveries)
 SELECT count(*) FILTER (is_healthy) AS healthy_nodes, count(*) FILTER (NOT is_healthy) AS unhealthy_nodes, round(avg(response_ms) FILTER (is_healthy), 6) AS average_response_ms,
   (SELECT round(coalesce(retries * 100.0::DOUBLE / nullif(retries + recoveries, 0), 0), 6) FROM r) AS error_rate, (SELECT count(*) FILTER (state = 'OPEN') FROM s) AS open_breakers FROM h""",
+    "partitioned_calls": f"""WITH {CALLS} SELECT seq, node_id, CASE node_id WHEN 'node-2' THEN ts_ms >= {AS_OF} - 20 * 86400000 AND ts_ms < {AS_OF} - 10 * 86400000
+  WHEN 'node-3' THEN ts_ms >= {AS_OF} - 5 * 86400000 AND ts_ms < {AS_OF} - 5 * 86400000 + 10000 ELSE false END AS partitioned FROM calls""",
     "retry_schedule": "SELECT i::INT AS attempt, least(5000, 100 * 2 ** (i - 1))::BIGINT AS delay_ms, sum(least(5000, 100 * 2 ** (i - 1))) OVER (ORDER BY i)::BIGINT AS waited_ms FROM range(1, 4) t(i)",
     "latency_percentiles": f"SELECT count(*) AS n, round(avg(value), 6) AS mean, {_percentile(50)}, {_percentile(95)}, {_percentile(99)} FROM events WHERE value IS NOT NULL",
     "rag_chunk": f"WITH {CHUNKS} SELECT doc_id, chunk, text FROM chunks",

@@ -11,6 +11,7 @@ from tessera.functions import text
 from tessera.operators import cache, health, ivf, latency, lsm, rag, replicas, ring, state, vectors
 from tessera.plans import fixtures as fx
 from tessera.plans.oracles import ORACLES  # noqa: F401
+from tessera.sources.log import append_kv_lines, read_kv_lines
 
 QUERIES: dict = {}
 LRU_CAPACITY = 50
@@ -54,6 +55,14 @@ def kv_delete_existed(spark: SparkSession, sf: str) -> DataFrame:
     return state.delete_outcomes(fx.kv_log(spark, sf, clears=True))
 
 
+@query
+def kv_lines_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written as JSON lines, read back and replayed."""
+    path = fx.work_dir(spark)
+    append_kv_lines(fx.kv_log(spark, sf).orderBy("seq"), path)
+    return state.replay(read_kv_lines(spark, path), fx.AS_OF).select("key", "value", "ts_ms")
+
+
 @query
 def kv_clear_barrier(spark: SparkSession, sf: str) -> DataFrame:
     return state.replay(fx.kv_log(spark, sf, clears=True)).select("key", "value", "seq")
@@ -112,6 +121,13 @@ def ring_stats(spark: SparkSession, sf: str) -> DataFrame:
     return ring.ring_stats(fx.three_nodes(spark, ("node-2",))[1])
 
 
+@query
+def ring_remove_node(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys that move once node-2 is taken away."""
+    left = RingConfig(nodes=tuple(n for n in RingConfig().nodes if n[0] != "node-2"))
+    return ring.moved(fx.keys(spark, sf), fx.three_nodes(spark)[1], ring.vnodes(ring.nodes(spark, left)), 450, 300)
+
+
 # --- replication
 
 
@@ -146,6 +162,19 @@ def replica_promote_master(spark: SparkSession, sf: str) -> DataFrame:
     return replicas.promote(fx.replicas(spark)).select("node_id", "synced_ops")
 
 
+@query
+def replica_log_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return replicas.trimmed(replicas.op_log(_ops(spark, sf), fx.replicas(spark))).select("seq", "op", "key")
+
+
+@query
+def replica_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """A replica comes, the master fails, another goes, two recover; and how many masters were promoted."""
+    events = [("add", "node-5"), ("unhealthy", "node-1"), ("remove", "node-3"), ("healthy", "node-4"), ("healthy", "node-1")]
+    got = replicas.fold_membership(fx.replicas(spark), events)
+    return got.withColumn("failovers", F.lit(replicas.failovers(fx.replicas(spark), events)).cast("long"))
+
+
 # --- LRU cache
 
 
@@ -203,6 +232,13 @@ def vec_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(vectors.top_k(fx.vectors(spark, sf), fx.query_vector(spark, sf), 5, where={"label": 3}), "score")
 
 
+@query
+def vec_topk_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors instead of metadata beside the scores."""
+    got = vectors.top_k(fx.vectors(spark, sf), fx.query_vector(spark, sf), 10, metric="dot", include_metadata=False, include_values=True)
+    return _rounded(got.select("id", "score", F.size("values").alias("dimension"), F.get("values", F.lit(0)).alias("first")), "score", "first")
+
+
 @query
 def vec_upsert(spark: SparkSession, sf: str) -> DataFrame:
     v = fx.vectors(spark, sf)
@@ -274,6 +310,19 @@ def ivf_remove(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.status(ivf.remove(_fixed_index(spark, sf), fx.vectors(spark, sf).where("id % 4 = 0")))
 
 
+@query
+def ivf_add(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors added to an index that has the even ones, in the wrong cell."""
+    full = _fixed_index(spark, sf)
+    wrong = full.postings.where("id % 2 = 0").withColumn("cell_id", F.lit(0))
+    return ivf.add(ivf.Ivf(full.config, full.centroids, wrong), fx.vectors(spark, sf)).postings.select("id", "cell_id")
+
+
+@query
+def ivf_brute_force(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(ivf.brute_force(_fixed_index(spark, sf), fx.vec_queries(spark, sf), 5), "score")
+
+
 @query
 def ivf_save_load(spark: SparkSession, sf: str) -> DataFrame:
     path = fx.work_dir(spark)
@@ -290,6 +339,12 @@ def lsm_segment_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return lsm.manifest(fx.mem_entries(spark, sf))
 
 
+@query
+def lsm_segment_read(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.mem_entries(spark, sf)
+    return lsm.read(e, e.where("cast(id as long) % 3 = 0").select("id")).select("id", "segment_ord", "seq", "metadata", "tombstone")
+
+
 @query
 def lsm_compact(spark: SparkSession, sf: str) -> DataFrame:
     return lsm.compact(fx.mem_entries(spark, sf)).select("id", "segment_ord", "seq", "metadata")
@@ -324,6 +379,14 @@ def breaker_states(spark: SparkSession, sf: str) -> DataFrame:
     return health.breaker_states(fx.node_calls(spark, sf))
 
 
+@query
+def partitioned_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls while their node is cut off: node-2 for ten days, node-3 for as long as is usual."""
+    day = 86_400_000
+    cut = spark.createDataFrame([("node-2", fx.AS_OF - 20 * day, 10 * day), ("node-3", fx.AS_OF - 5 * day, None)], "node_id string, ts_ms long, duration_ms long")
+    return health.under_partition(fx.node_calls(spark, sf).select("seq", "node_id", "ts_ms"), health.partition_events(cut)).select("seq", "node_id", "partitioned")
+
+
 @query
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return health.retry_schedule(spark)
