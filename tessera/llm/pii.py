@@ -62,8 +62,12 @@ def feistel(values: Column, radices: Column, key: Column, kind: str) -> Column:
 
     Each round adds to one half a pseudorandom number that depends on the other half, modulo each radix.
     """
-    n, h = F.size(values), F.ceil(F.size(values) / 2).cast("int")
-    start = F.struct(F.slice(values, F.lit(1), h).alias("a"), F.slice(values, h + 1, n - h).alias("b"), F.slice(radices, F.lit(1), h).alias("ra"), F.slice(radices, h + 1, n - h).alias("rb"))
+
+    def halves(v: Column, r: Column) -> Column:
+        n, h = F.size(v), F.ceil(F.size(v) / 2).cast("int")
+        return F.struct(F.slice(v, F.lit(1), h).alias("a"), F.slice(v, h + 1, n - h).alias("b"), F.slice(r, F.lit(1), h).alias("ra"), F.slice(r, h + 1, n - h).alias("rb"))
+
+    start = _let(values, lambda v: _let(radices, lambda r: halves(v, r)))
 
     def turn(acc: Column, r: Column) -> Column:
         moved = _let(_said(acc["b"]), lambda other: F.transform(acc["a"], lambda x, i: F.pmod(x + _prf(key, kind, r, i, other), F.get(acc["ra"], i))))
@@ -126,6 +130,10 @@ def _secret(s: Column, key: Column) -> Column:
 
 def _laid_out(s: Column, digits: Column) -> Column:
     """``s`` with its digits replaced in turn."""
+    return _let(digits, lambda d: _spelled(s, d))
+
+
+def _spelled(s: Column, digits: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
     step = lambda acc, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.get(digits, acc["i"]).cast("string")).alias("out"), (acc["i"] + 1).alias("i"))).otherwise(
         F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i"))
@@ -221,15 +229,20 @@ def _phone(s: Column, key: Column) -> Column:
     bare = F.regexp_replace(number, r"[^+\d]", "")
     code = F.coalesce(F.when(bare.startswith("+"), F.substring(F.regexp_extract(bare, COUNTRY, 0), F.lit(2), F.lit(3))).when(bare.startswith("0"), F.lit("0")), F.lit(""))
 
-    def moved(every: Column) -> Column:
-        lead = F.slice(every, F.lit(1), F.length(code))
-        d = F.slice(every, F.length(code) + 1, F.size(every))
-        north = (F.size(d) == 10) & (F.get(d, F.lit(0)) > 1) & (F.get(d, F.lit(3)) > 1)
+    def permuted(d: Column, north: Column) -> Column:
         low = lambda i: F.when(north & i.isin(0, 3), 2).otherwise(0)
         new = feistel(F.transform(d, lambda x, i: x - low(i)), F.transform(d, lambda x, i: F.when(north & i.isin(0, 3), 8).otherwise(10).cast("long")), key, "phone")
-        return F.when(F.size(d).between(7, 14), F.concat(word, _laid_out(number, F.concat(lead, F.transform(new, lambda x, i: x + low(i)))))).otherwise(s)
+        return F.transform(new, lambda x, i: x + low(i))
+
+    def moved(parts: Column) -> Column:
+        d, north = parts["own"], (F.size(parts["own"]) == 10) & (F.get(parts["own"], F.lit(0)) > 1) & (F.get(parts["own"], F.lit(3)) > 1)
+        new = _let(north, lambda n: permuted(d, n))
+        return F.when(F.size(d).between(7, 14), F.concat(parts["word"], _laid_out(parts["number"], F.concat(parts["lead"], new)))).otherwise(s)
+
+    def parted(every: Column, size: Column) -> Column:
+        return F.struct(word.alias("word"), number.alias("number"), F.slice(every, F.lit(1), size).alias("lead"), F.slice(every, size + 1, F.size(every)).alias("own"))
 
-    return _let(_digits(number), moved)
+    return _let(_let(_digits(number), lambda every: _let(F.length(code), lambda size: parted(every, size))), moved)
 
 
 def pseudonym(value: Column, key: Column) -> Column:
@@ -259,7 +272,8 @@ def kind_of(value: Column) -> Column:
 
 def found(text: Column) -> Column:
     """All values of the formats, from left to right, validated or not; null text: none."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hinted = text.rlike("[0-9@]") | ((text.contains("=") | text.contains(":")) & text.rlike(HINT))
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
