@@ -52,7 +52,7 @@ class Cascade:
     exact: bool = True
 
 
-def build(listed: DataFrame, universe: DataFrame, *, max_bits: int = 1 << 30, max_levels: int = 64) -> Cascade:
+def build(listed: DataFrame, universe: DataFrame, *, max_bits: int = 1 << 26, max_levels: int = 64) -> Cascade:
     """A cascade for ``listed(key)`` over ``universe(key)``; nulls and repeated keys do not matter.
 
     The first level's rate is set so that its false positives are about as many as the listed keys; later levels let
@@ -116,7 +116,7 @@ class UrlFilter:
     labels: list[int]
 
 
-def fit(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", max_bits: int = 1 << 30) -> UrlFilter:
+def fit(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", max_bits: int = 1 << 26) -> UrlFilter:
     """Cascades for ``rules(rule, verdict)`` over all keys of ``urls``.
 
     A rule is a host, then a path that begins and ends with a slash, such as ``example.org/a/``. Rules of any other
