@@ -41,7 +41,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    hashed = docs.withColumn("__hash", toxicity.sample_hash(F.col("doc_id"), F.col("text")))
+    model = toxicity.train(hashed.join(labels, "doc_id"), hash_col="__hash")
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -167,19 +167,24 @@ def _features(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) > n}
 
 
+def sample_hash(doc_id: Column, text: Column, seed: int = 2) -> Column:
+    """What ``train`` samples by."""
+    return F.xxhash64(doc_id, text, F.lit(seed))
+
+
 def train(
-    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 2.0, min_precision: float = 0.9, seed: int = 2
+    labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hash_col: str | None = None, max_rows: int = 12_000, max_entries: int = 4000, min_docs: int = 6, min_share: float = 0.02, min_weight: float = 2.0, min_precision: float = 0.9, seed: int = 2
 ) -> ToxicityModel:
     """Learn entry weights and the score's scale from at most about ``max_rows`` labelled rows.
 
     The sample keeps the rows whose hash of id and text is below the share that gives ``max_rows``, repeated ones once.
-    Rows with a null text or label teach nothing; a null id is one like any other. An entry is a word, or a stem of 4 to 6 letters, that at least ``min_docs`` toxic rows and
+    Where the rows come from a join, ``hash_col``, made by ``sample_hash`` before it, keeps texts that are not sampled out
+    of the join. Rows with a null text or label teach nothing; a null id is one like any other. An entry is a word, or a stem of 4 to 6 letters, that at least ``min_docs`` toxic rows and
     ``min_share`` of them have (groups of copies alone do not make one) and whose smoothed log odds are at least
     ``min_weight``, if ``min_precision`` of the rows that have it are toxic; at most ``max_entries`` entries are kept, heaviest first, and none that another kept one covers. Without rows of both labels, so for an empty table, the given words
     alone make the model.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y"))
-    rows = rows.withColumn("h", F.xxhash64("i", "t", F.lit(seed)))
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(label_col) > 0).cast("int").alias("y"), (F.col(hash_col) if hash_col else sample_hash(F.col(id_col), F.col(text_col), seed)).alias("h"))
     n = rows.agg(F.approx_count_distinct("h", 0.01)).first()[0]
     kept = rows.where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 40)))
     kept = materialise(kept.dropDuplicates(["h", "y"]).select("t", "y"))
