@@ -170,39 +170,115 @@ def _stars(listed: DataFrame, pivots: int, similarity: tuple[int, int]) -> DataF
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
 
 
-def _blocked(listed: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float, block: int) -> DataFrame:
-    """Pairs ``a, b, ca, cb, sure`` of ``listed(v, id, n, c)`` that are in one list and different components.
+def _dealt(rows: DataFrame, key: str, weight: Column, block: int, least: int) -> DataFrame:
+    """``rows(key, id, c)`` in pairs of blocks: ``at`` is a row's own block, ``x <= y`` are the two that meet.
 
-    The rest of what lists may hold: all pairs are compared, sketch by sketch, inside tasks, and only links come out.
-    A list is cut into blocks by hash, and each pair of blocks is one group, however long the list is. The members of
-    a list's largest component are in blocks of their own, which do not meet each other. Pairs whose sketches are their
-    whole sets are ``sure``, and of these a group gives only those that join what it had not joined yet.
+    Rows of one key, if they are of different ``c`` and ``least`` at least, are cut by hash into blocks of a ``weight``
+    of about ``block``. Those of the key's largest ``c`` are in blocks of their own, which do not meet each other.
     """
-    num, den = similarity
-    lists = listed.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v")
-    lists = lists.agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).where("all > most.m and all > 2")
-    lists = lists.selectExpr("v", "most.c as big", f"ceil(most.m / {block}) as nb", f"ceil((all - most.m) / {block}) as nr")
-    rows = listed.join(lists, "v").withColumn("large", F.col("c") == F.col("big"))
-    rows = rows.withColumn("at", F.when(F.col("large"), F.col("nr")).otherwise(F.lit(0)) + F.pmod(F.xxhash64("id", "v"), F.when(F.col("large"), F.col("nb")).otherwise(F.col("nr"))))
-    rows = rows.withColumn("least", _common_least(F.col("n"), k, similarity, deviations))
+    sizes = rows.groupBy(key, "c").agg(F.count("*").alias("m"), F.sum(weight).alias("w")).groupBy(key)
+    sizes = sizes.agg(F.max(F.struct("m", "c", "w")).alias("most"), F.sum("m").alias("all"), F.sum("w").alias("w")).where(f"all > most.m and all >= {least}")
+    sizes = sizes.selectExpr(key, "most.c as big", f"ceil(most.w / {block}) as nb", f"ceil((w - most.w) / {block}) as nr")
+    rows = rows.join(sizes, key).withColumn("large", F.col("c") == F.col("big"))
+    rows = rows.withColumn("at", F.when(F.col("large"), F.col("nr")).otherwise(F.lit(0)) + F.pmod(F.xxhash64("id", key), F.when(F.col("large"), F.col("nb")).otherwise(F.col("nr"))))
     # The others' blocks meet all blocks, those of the largest component only the others'.
     last = F.when(F.col("large"), F.col("nr")).otherwise(F.col("nr") + F.col("nb")) - 1
-    rows = rows.join(members.select("id", "n", "sketch"), ["id", "n"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.select("v", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "id", "n", "c", "least", "sketch")
+    rows = rows.withColumn("last", last).drop("big", "nb", "nr", "large")
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).withColumns({"x": F.least("at", "other"), "y": F.greatest("at", "other")}).drop("last", "other")
+
+
+def _maybe_linked(group: pa.Table, sketches: pa.ChunkedArray, k: int, similarity: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """``i, j, sure, common``: the rows of a pair of blocks that may be linked and differ in ``c``, by their sketches.
+
+    If both sketches are whole sets the pair is ``sure``: it is linked. ``common`` is how many hashes they share.
+    """
+    num, den = similarity
+    at, x, n, c, least = (group.column(name).to_numpy() for name in ("at", "x", "n", "c", "least"))
+    left = np.flatnonzero(at == x[0])
+    right = left if x[0] == group.column("y")[0].as_py() else np.flatnonzero(at != x[0])
+    common = shared_counts(sketches, left, right)
+    m, o = n[left][:, None], n[right][None, :]
+    sure = (m <= k) & (o <= k)
+    keep = np.where(sure, den * common >= num * (m + o - common), common >= np.maximum(least[left][:, None], least[right][None, :]))
+    keep &= (c[left][:, None] != c[right][None, :]) & (den * np.minimum(m, o) >= num * np.maximum(m, o))
+    i, j = np.nonzero(keep)
+    return left[i], right[j], sure[i, j], common[i, j]
+
+
+def _reached(size: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a graph of ``size`` nodes with edges ``i, j``: each node's component, and the node it was reached from, or -1."""
+    if not len(i):
+        return np.arange(size), np.full(size, -1)
+    meets = np.zeros((size, size), dtype=bool)
+    meets[i, j] = meets[j, i] = True
+    label, start = np.full(size, -1), np.full(size, -1)
+    for first in range(size):
+        if label[first] >= 0:
+            continue
+        label[first], waiting = first, [first]
+        while waiting:
+            u = waiting.pop()
+            new = np.flatnonzero(meets[u] & (label < 0))
+            label[new], start[new] = first, u
+            waiting.extend(new.tolist())
+    return label, start
+
+
+def _blocked(listed: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float, block: int) -> DataFrame:
+    """Pairs ``a, b, ca, cb, sure`` for what is in one list of ``listed(v, id, n, c)`` and in different components.
+
+    The rest of what lists may hold: all pairs are compared, sketch by sketch, inside tasks. A list is cut into blocks
+    by hash, and each pair of blocks is one group, however long the list is. Pairs whose sketches are their whole sets
+    are ``sure``, and of these a group gives only those that join components it had not joined yet. Of the others a
+    group does not give the pairs: each class that has one is paired with one class that a chain of them leads to.
+    So a group never gives more rows than it has.
+    """
+    rows = _dealt(listed, "v", F.lit(1), block, 3).withColumn("least", _common_least(F.col("n"), k, similarity, deviations))
+    rows = rows.join(members.select("id", "n", "sketch"), ["id", "n"]).select("v", "x", "y", "at", "id", "n", "c", "least", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        at, x, ids, n, c, least = (group.column(name).to_numpy() for name in ("at", "x", "id", "n", "c", "least"))
-        same = x[0] == group.column("y")[0].as_py()
-        left = np.flatnonzero(at == x[0])
-        right = left if same else np.flatnonzero(at != x[0])
-        common = shared_counts(group.column("sketch"), left, right)
-        m, o = n[left][:, None], n[right][None, :]
-        sure = (m <= k) & (o <= k)
-        keep = np.where(sure, den * common >= num * (m + o - common), common >= np.maximum(least[left][:, None], least[right][None, :]))
-        keep &= (c[left][:, None] != c[right][None, :]) & (den * np.minimum(m, o) >= num * np.maximum(m, o))
-        i, j = np.nonzero(keep)
-        sure = sure[i, j]
-        i, j = left[i], right[j]
+        ids, c = group.column("id").to_numpy(), group.column("c").to_numpy()
+        i, j, sure, _ = _maybe_linked(group, group.column("sketch"), k, similarity)
+        names, code = np.unique(c, return_inverse=True)
+        label, start = _reached(len(names), code[i[sure]], code[j[sure]])
+        joined = np.flatnonzero(start >= 0)
+        i, j = i[~sure], j[~sure]
+        apart = label[code[i]] != label[code[j]]
+        i, j = i[apart], j[apart]
+        chain, _ = _reached(len(names), label[code[i]], label[code[j]])
+        asked = np.unique(np.concatenate([i, j]))
+        asked = asked[np.argsort(ids[asked], kind="stable")]
+        _, first, of = np.unique(chain[label[code[asked]]], return_index=True, return_inverse=True)
+        hub = asked[first][of]
+        asked, hub = asked[asked != hub], hub[asked != hub]
+        ca, cb = np.concatenate([names[start[joined]], c[hub]]), np.concatenate([names[joined], c[asked]])
+        a, b = np.concatenate([names[start[joined]], ids[hub]]), np.concatenate([names[joined], ids[asked]])
+        return pa.table({"a": a, "b": b, "ca": ca, "cb": cb, "sure": pa.array(np.arange(len(a)) < len(joined), pa.bool_())})
+
+    return rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long, ca long, cb long, sure boolean").distinct()
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float, weight: int = 1 << 21) -> DataFrame:
+    """Links ``a, b`` of components, enough to join all that ``pairs(a, b, ca, cb, sure)`` of ``_blocked`` may join.
+
+    Classes that a chain of pairs leads to are one group, cut into blocks of about ``weight`` hashes. Pairs of blocks
+    are compared inside tasks, on whole sets where sketches leave it open, and only links that join something come out.
+    """
+    num, den = similarity
+    open_ = pairs.where("not sure")
+    asked = open_.select("a", "ca").union(open_.select("b", "cb")).toDF("id", "c").distinct()
+    asked = asked.join(components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("c", "g"), "c").join(members.select("id", "n"), "id")
+    rows = _dealt(asked, "g", F.greatest(F.col("n"), F.lit(weight >> 10)), weight, 2).withColumn("least", _common_least(F.col("n"), k, similarity, deviations))
+    # Where a sketch is the whole set, the set is not held again.
+    sets = members.select("id", F.when(F.col("whole").isNull(), F.col("sketch")).alias("sketch"), "whole")
+    rows = rows.join(sets, "id").select("g", "x", "y", "at", "n", "c", "least", "sketch", "whole")
+
+    def run(group: pa.Table) -> pa.Table:
+        c = group.column("c").to_numpy()
+        sets = [np.frombuffer(w.as_buffer(), np.uint64) if w.is_valid else s.values.to_numpy().view(np.uint64) for s, w in zip(group.column("sketch"), group.column("whole"))]
+        low = [s[:k] for s in sets]
+        sketches = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, low)]), np.concatenate(low).view(np.int64))
+        i, j, sure, common = _maybe_linked(group, pa.chunked_array([sketches]), k, similarity)
         up: dict[int, int] = {}
 
         def root(u: int) -> int:
@@ -211,18 +287,22 @@ def _blocked(listed: DataFrame, members: DataFrame, k: int, similarity: tuple[in
                 u = w
             return u
 
-        chosen = np.zeros(len(i), dtype=bool)
-        for e in np.argsort(~sure, kind="stable"):
+        a, b = [], []
+        for e in np.lexsort((-common, ~sure)):
+            x, y = sets[i[e]], sets[j[e]]
             p, q = root(int(c[i[e]])), root(int(c[j[e]]))
-            chosen[e] = p != q
-            if p != q and sure[e]:
-                up[p] = q
-        i, j, sure = i[chosen], j[chosen], sure[chosen]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.table({"a": ids[i], "b": ids[j], "ca": c[i], "cb": c[j], "sure": pa.array(sure, pa.bool_())})
+            if p == q:
+                continue
+            if not sure[e]:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if den * both < num * (len(x) + len(y) - both):
+                    continue
+            up[p] = q
+            a.append(int(c[i[e]])), b.append(int(c[j[e]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long, ca long, cb long, sure boolean").distinct()
+    confirmed = rows.groupBy("g", "x", "y").applyInArrow(run, "a long, b long")
+    return materialise(pairs.where("sure").select("ca", "cb").toDF("a", "b").union(confirmed).distinct())
 
 
 def shared_counts(sketches: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -300,7 +380,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, similar
         labels = _merged(labels, links)
         discard(links)
     pairs = materialise(_blocked(listed.join(labels, "id"), members, sketch, similarity, deviations, block))
-    links = _linked(pairs, members, sketch, similarity, deviations)
+    links = _confirmed(pairs, members, sketch, similarity, deviations)
     labels = _merged(labels, links)
     discard(pairs, links, listed, members)
     joined = materialise(classes.select("d1", "d2", "id").join(labels, "id", "left").select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("c", "id").alias("__component")))
@@ -372,17 +452,15 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _linked(pairs: DataFrame, members: DataFrame, k: int, similarity: tuple[int, int], deviations: float) -> DataFrame:
-    """The ``pairs(a, b, ca, cb)`` whose full sets reach the similarity; given ``sure``, those as they are.
+    """The components ``a, b`` of the ``pairs(a, b, ca, cb)`` whose full sets reach the similarity.
 
     The share of the union's ``k`` smallest hashes that both sets have estimates the similarity; it is exact if the
     sketches are the whole sets. What is ``deviations`` below or better is verified on whole sets.
     """
     num, den = similarity
     j = num / den
-    given = [pairs.where("sure").select("ca", "cb")] if "sure" in pairs.columns else []
-    asked = pairs.where("not sure").drop("sure") if given else pairs
     small = members.select("id", "n", "sketch")
-    rows = asked.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
+    rows = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,15 +500,6 @@ def _linked(pairs: DataFrame, members: DataFrame, k: int, similarity: tuple[int,
         release()
 
     verified = both.select("ca", "cb", "sa", "wa", "sb", "wb").mapInArrow(verify, "ca long, cb long")
-    out = materialise(_all([*given, likely.where("sure").select("ca", "cb"), verified]).toDF("a", "b").distinct())
+    out = materialise(likely.where("sure").select("ca", "cb").union(verified).toDF("a", "b").distinct())
     discard(likely)
     return out
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-

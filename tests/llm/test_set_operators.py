@@ -98,6 +98,21 @@ def brute_pairs(rows):
     return {i: c for k in range(0, len(rows), 2) for i, c in brute(rows[k : k + 2]).items()}
 
 
+@pytest.mark.parametrize("block, weight", [(1024, 1 << 21), (16, 1 << 14)])
+def test_blocks_give_no_pairs_of_sets_that_sketches_leave_open(spark, block, weight):
+    # 60 sets in one list, each two at 0.7 and so below the threshold; two more are near the first and the last.
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 700)
+    sets = [np.concatenate([common, rng.integers(0, 2**63, 150)]) for _ in range(60)]
+    sets = [np.unique(s.astype(np.uint64)) for s in [*sets, sets[0][40:], sets[59][40:]]]
+    listed = spark.createDataFrame([(1, i, len(s), i) for i, s in enumerate(sets)], "v long, id long, n long, c long")
+    members = spark.createDataFrame([(i, len(s), s[:256].astype(np.int64).tolist(), s.tobytes()) for i, s in enumerate(sets)], "id long, n long, sketch array<long>, whole binary")
+    pairs = neardup._blocked(listed, members, 256, (3, 4), 5.0, block)
+    assert pairs.count() < len(sets) * (1 if block == 1024 else 5)
+    links = neardup._confirmed(pairs, members, 256, (3, 4), 5.0, weight)
+    assert {frozenset(r) for r in links.collect()} == {frozenset((0, 60)), frozenset((59, 61))}
+
+
 def test_query_like_brute_force(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op5_neardup"](spark, small).collect()
