@@ -131,6 +131,19 @@ def test_one_of_each(spark, odd_docs, empty):
     assert neardup.one_of_each(empty).count() == 0
 
 
+def test_neardup_stage_of_long_texts_just_below_the_threshold(spark, monkeypatch):
+    # Any two of 40 long texts are at 0.7, but the last is near the first.
+    words = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
+    texts = [f"{words(704, 'w')} {words(146, f't{k}x')}" for k in range(39)]
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate([*texts, texts[0] + " more"])]
+    made, blocked = [], neardup._blocked
+    monkeypatch.setattr(neardup, "_blocked", lambda *a: made.append(blocked(*a).count()) or blocked(*a))
+    got = corpus_pipeline.neardup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(39))
+    # All pairs would be 779; lists may choose different classes to pair theirs with.
+    assert 0 < made[0] < 5 * len(rows)
+
+
 def test_near_duplicates_edges(spark, odd_docs, empty):
     got = neardup.near_duplicates(odd_docs).collect()
     by = {r["doc_id"]: r for r in got}
