@@ -88,7 +88,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     got = materialise(simhash.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text")))
     near = materialise(simhash.near_counts(got, radius=6))
-    got = got.join(near.toDF("__a", "__b", "n_near"), (F.col("fp_a") == F.col("__a")) & (F.col("fp_b") == F.col("__b")))
+    got = got.join(near.toDF("__a", "__b", "n_near").hint("merge"), (F.col("fp_a") == F.col("__a")) & (F.col("fp_b") == F.col("__b")))
     own, edited, following = [(F.col(f"{k}_a"), F.col(f"{k}_b")) for k in ("fp", "edited", "next")]
     return got.select(
         "doc_id",

@@ -178,7 +178,8 @@ def near_counts(prints: DataFrame, radius: int = 6, *, spare: int = 2, block: in
     n = radius + spare
     keyed = _tables(prints, radius, spare)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size >= 2")
-    rows = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    # Merge joins: fingerprints are as many as rows, too many to broadcast through the driver.
+    rows = keyed.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("fp_a", "fp_b", "key.table"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.struct("fp_a", "fp_b")
@@ -200,7 +201,7 @@ def near_counts(prints: DataFrame, radius: int = 6, *, spare: int = 2, block: in
     both = F.when(F.col("x") == F.col("y"), counted("left", "right")).otherwise(F.concat(counted("left", "right"), counted("right", "left")))
     found = groups.select(F.explode(both).alias("f")).groupBy("f.fp_a", "f.fp_b").agg(F.sum("f.n").alias("n"))
     own = prints.where("fp_a is not null and fp_b is not null").select("fp_a", "fp_b").distinct()
-    return own.join(found.toDF("__a", "__b", "n"), (F.col("fp_a") == F.col("__a")) & (F.col("fp_b") == F.col("__b")), "left").select("fp_a", "fp_b", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"))
+    return own.join(found.toDF("__a", "__b", "n").hint("merge"), (F.col("fp_a") == F.col("__a")) & (F.col("fp_b") == F.col("__b")), "left").select("fp_a", "fp_b", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"))
 
 
 def near_pairs(prints: DataFrame, radius: int = 6, *, spare: int = 2) -> DataFrame:

@@ -338,3 +338,11 @@ def test_bits_are_weighted_votes(spark, docs):
         want[r["doc_id"]] = tuple(bits)
     got = {r["doc_id"]: (r["fp_a"], r["fp_b"]) for r in simhash.edited_neighbours(docs).collect()}
     assert got == want
+
+
+def test_simhash_broadcasts_no_fingerprints(spark, small):
+    from tessera.llm.queries import QUERIES
+
+    got = QUERIES["op7_simhash"](spark, small)
+    near = simhash.near_counts(spark.range(50).selectExpr("id as fp_a", "id as fp_b"))
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in (got, near))
