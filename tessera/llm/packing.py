@@ -115,13 +115,15 @@ class WordCache(dict):
         return [all_ids[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
-def tokenised(cache: WordCache, texts: pa.Array, chunk: int = 1 << 22) -> Iterator[np.ndarray]:
-    """Ids of each text of a string array, null as empty; about ``chunk`` bytes of text at a time."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    at, sizes = 0, pc.binary_length(texts).to_numpy()
+def tokenised(cache: WordCache, texts: pa.Array, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Ids of each text of a string array, null as empty; about ``chunk`` bytes of text at a time.
+
+    Lists of words and ids of a part take some sixteen times its bytes, so parts are small.
+    """
+    at, sizes = 0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     while at < len(texts):
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), chunk, side="right")))
-        part = texts.slice(at, n)
+        part = pc.fill_null(texts.slice(at, n), "")
         at += n
         if sizes[at - n] <= 2 * chunk and not pc.any(pc.match_substring_regex(part, cache.odd)).as_py():
             yield from cache.ids(part)
@@ -251,7 +253,7 @@ def pack(
     empty table gives no rows, other columns are not looked at. Sequence ids hold the partition's number in the upper
     bits: a task that runs again gives the same ids.
 
-    Memory of a task: the batch, the word cache and at most 4096 open windows.
+    Memory of a task: the batch, some 20 MB while a part of it is tokenised, the word cache and at most 4096 open windows.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

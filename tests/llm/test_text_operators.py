@@ -41,6 +41,28 @@ def test_tokens_equal_the_librarys():
             assert tokenizer.encode(t, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_tokens_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    cache = packing.WordCache(open(words_tokenizer(), encoding="utf-8").read())
+    rng, words = random.Random(1), "the quick brown fox jumps over a lazy dog, and sings.".split()
+    rows = [" ".join(rng.choices(words, k=1000)) for _ in range(1600)]
+    rows[::100] = [None] * 16
+    want = {n: cache.tokenizer.encode(rows[n] or "", add_special_tokens=False).ids for n in (0, 1, 799, 1599)}
+    texts, own = pa.array(rows), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(own)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        for n, ids in enumerate(packing.tokenised(cache, texts)):
+            assert n not in want or ids.tolist() == want[n]
+        peak = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(own)
+    assert n == 1599 and texts.nbytes > 7e6 and peak < 3 * texts.nbytes
+
+
 def check_packing(rows, size):
     seqs, by_doc = {}, {}
     for r in rows:
