@@ -68,3 +68,57 @@ def block_scores(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.nd
         raise ValueError(f"metric must be one of {METRICS}")
     size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
     return np.divide(products, size, out=np.zeros_like(products), where=size > 0)
+
+
+def pair_scores(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of the rows of ``a`` against the same rows of ``b``, summed in order as ``score`` does: equal vectors have
+    equal scores, wherever they stand."""
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+    if metric == "l2":
+        return 0.0 - total((a - b) * (a - b))
+    if metric == "dot":
+        return total(a * b) + 0.0
+    if metric != "cosine":
+        raise ValueError(f"metric must be one of {METRICS}")
+    size = np.sqrt(total(a * a)) * np.sqrt(total(b * b))
+    return np.divide(total(a * b), size, out=np.zeros(len(a)), where=~(size == 0)) + 0.0
+
+
+class Ranker:
+    """Scores of queries against blocks of vectors by one matrix product, but for a constant of each query, and within a
+    margin: what is left out by ``least`` has a lower exact score."""
+
+    def __init__(self, metric: str, queries: np.ndarray):
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        self.metric, self.queries = metric, queries
+        self.size = np.sqrt((queries * queries).sum(1))
+        self.left = {"l2": lambda: np.hstack([2 * queries, -np.ones((len(queries), 1))]), "dot": lambda: queries, "cosine": lambda: _unit(queries, self.size)}[metric]()
+        self.error = 8 * (queries.shape[1] + 8) * np.finfo(np.float64).eps
+
+    def right(self, vectors: np.ndarray) -> tuple[np.ndarray, float]:
+        """What ``products`` takes of a block, and its largest finite norm."""
+        squares = (vectors * vectors).sum(1)
+        size = np.sqrt(squares)
+        finite = size[np.isfinite(size)]
+        block = {"l2": lambda: np.hstack([vectors, squares[:, None]]), "dot": lambda: vectors, "cosine": lambda: _unit(vectors, size)}[self.metric]()
+        return block.T, float(finite.max()) if len(finite) else 0.0
+
+    def products(self, at: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.left[at] @ right
+
+    def margin(self, at: np.ndarray, largest: float) -> np.ndarray:
+        """More than products and exact scores differ by."""
+        s = self.size[at]
+        return self.error * {"l2": lambda: (s + largest) ** 2, "dot": lambda: s * largest, "cosine": lambda: np.ones_like(s)}[self.metric]()
+
+    def shifted(self, at: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Exact scores on the products' scale."""
+        return scores + self.size[at] ** 2 if self.metric == "l2" else scores
+
+
+def _unit(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.divide(v, size[:, None], out=np.zeros_like(v), where=~(size == 0)[:, None])

@@ -15,6 +15,8 @@ from tessera.functions import metrics
 
 #: Queries that go to every task, in numbers of vector components.
 QUERY_BOUND = 1 << 24
+#: Scores that a task holds at once.
+PAIRS = 1 << 21
 
 
 def split_valid(batch: DataFrame, dimension: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,13 +90,21 @@ def top_k(
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", id_col: str = "id", vec_col: str = "values", block: int = 4096) -> DataFrame:
     """``query_id, rank, id, score`` of each query ``(query_id, values)``, ranks from 1.
 
-    The queries go to every task, in parts of at most ``QUERY_BOUND`` components; a task multiplies blocks of vectors
-    with them and keeps ``k`` rows a query. Each part is one more pass over the vectors.
+    The queries go to every task, in parts of at most ``QUERY_BOUND`` components; a task multiplies blocks of at most
+    ``block`` vectors with some of them at a time, ``PAIRS`` scores at most, and keeps ``k`` rows a query. Each part is
+    one more pass over the vectors.
     """
+    return ranked(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("values")), queries, k, metric=metric, block=block)
+
+
+def ranked(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str, block: int = 4096) -> DataFrame:
+    """``top_k_batch`` of ``vectors(id, values)``; with ``vectors.cell_id`` and ``queries.cells``, lists of the cells that
+    a query looks into, of the vectors in these cells only."""
     if k < 0:
         raise ValueError("k must not be negative")
-    kind = vectors.schema[id_col].dataType.simpleString()
-    asked = queries.select("query_id", F.col("values").cast("array<double>").alias("values"))
+    celled = "cell_id" in vectors.columns
+    kind = vectors.schema["id"].dataType.simpleString()
+    asked = queries.select("query_id", F.col("values").cast("array<double>").alias("values"), *["cells"] * celled)
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("values")), F.lit(0)).alias("d"), F.min(F.size("values")).alias("least")).first()
     if size["n"] and size["least"] != size["d"]:
         raise ValueError("queries must have one dimension")
@@ -103,7 +113,8 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric:
     if not size["n"] or not k:
         return vectors.sparkSession.createDataFrame([], f"query_id {qid}, rank int, id {kind}, score double")
     dims, most = size["d"], max(1, QUERY_BOUND // max(1, size["d"]))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    # Dealt anew: a file's parts may be few and unlike, and each vector costs as many products as there are queries.
+    rows = vectors.select("id", F.col("values").cast("array<double>").alias("v"), *["cell_id"] * celled).repartition("id")
     parts, held = [], []
     for row in asked.toLocalIterator():
         held.append(row)
@@ -111,31 +122,75 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric:
             parts, held = [*parts, _best(rows, held, k, metric, dims, block, schema)], []
     if held:
         parts.append(_best(rows, held, k, metric, dims, block, schema))
-    found = reduce(DataFrame.union, parts)
+    found = reduce(DataFrame.union, parts).withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas hands NaN on as null
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def _best(rows: DataFrame, part: list, k: int, metric: str, dims: int, block: int, schema: str) -> DataFrame:
-    """Each task's ``k`` best of ``rows(id, v)`` for each query of ``part``."""
-    q, names = np.array([r["values"] for r in part], dtype=np.float64), pd.Series([r["query_id"] for r in part]).to_numpy()
+    """Each task's ``k`` best of ``rows(id, v)``, or of ``rows(id, v, cell_id)`` in its cells, for each query of ``part``.
+
+    Products of a few queries with a block of vectors pass on what may be among the ``k`` best; these few pairs are
+    scored exactly.
+    """
+    q, names = np.array([r["values"] for r in part], dtype=np.float64).reshape(len(part), dims), pd.Series([r["query_id"] for r in part]).to_numpy()
+    askers: dict | None = None
+    if "cell_id" in rows.columns:
+        cells = np.array([c for r in part for c in r["cells"]], dtype=np.int64)
+        at = np.repeat(np.arange(len(part)), [len(r["cells"]) for r in part])[order := np.argsort(cells, kind="stable")]
+        found, first = np.unique(cells[order], return_index=True)
+        askers = dict(zip(found.tolist(), np.split(at, first[1:])))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for p in parts:
-            for i in range(0, len(p), block):
-                part = p.iloc[i : i + block]
-                if any(len(x) != dims for x in part["v"]):
+        ranker, best = metrics.Ranker(metric, q), None
+        kth, every = np.full(len(q), -np.inf), np.arange(len(q))
+        fresh: list[pd.DataFrame] = []
+        n = 0
+
+        def settle() -> None:
+            nonlocal best, fresh, n
+            best = pd.concat([best, *fresh] if best is not None else fresh)
+            best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], na_position="first")
+            nth = best.groupby("q", sort=False).cumcount().to_numpy()
+            best, last = best[nth < k], best[nth == k - 1]
+            # If the k-th is NaN, which ranks highest, only NaN can still come in.
+            kth[last["q"]] = np.nan_to_num(last["score"].to_numpy(), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+            fresh, n = [], 0
+
+        def compare(at: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+            nonlocal n
+            right, largest = ranker.right(v)
+            step = max(1, PAIRS // len(v))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                s, margin = ranker.products(some, right), ranker.margin(some, largest)
+                least = ranker.shifted(some, kth[some])
+                if k < len(v) and (new := np.isneginf(least)).any():
+                    least[new] = np.nan_to_num(np.partition(s[new], -k, axis=1)[:, -k] - margin[new], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                x, y = np.nonzero(~(s < (least - margin)[:, None]))  # NaN ranks highest, as in the SQL order
+                pairs = max(1, PAIRS // 2 // max(1, dims))
+                for j in range(0, len(x), pairs):
+                    a, b = some[x[j : j + pairs]], y[j : j + pairs]
+                    fresh.append(pd.DataFrame({"q": a, "id": ids[b], "score": metrics.pair_scores(metric, q[a], v[b])}))
+                    n += len(a)
+                    if n > max(PAIRS // 8, k * len(q)):
+                        settle()
+
+        with np.errstate(all="ignore"):
+            for p in parts:
+                if any(len(x) != dims for x in p["v"]):
                     raise ValueError("vector dimensions differ")
-                s = metrics.block_scores(metric, q, np.stack(part["v"].to_numpy()))
-                ids = part["id"].to_numpy()
-                # All rows at least as good as the k-th, so that ties are broken by id below.
-                at = np.nonzero(s >= np.partition(s, -k, axis=1)[:, [-k]]) if k < s.shape[1] else np.nonzero(np.ones_like(s, dtype=bool))
-                new = pd.DataFrame({"query_id": names[at[0]], "id": ids[at[1]], "score": s[at] + 0.0})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+                groups = [(every, p)] if askers is None else [(askers[c], g) for c, g in p.groupby("cell_id") if c in askers]
+                for at, g in groups:
+                    ids = g["id"].to_numpy()
+                    for i in range(0, len(g), block):
+                        compare(at, ids[i : i + block], np.stack(g["v"].iloc[i : i + block].to_numpy()))
+                        if best is None:
+                            settle()
+            if fresh:
+                settle()
         if best is not None:
-            yield best
+            yield best.assign(query_id=names[best["q"]])[["query_id", "id", "score"]]
 
     return rows.mapInPandas(run, schema)
 

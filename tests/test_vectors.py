@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,32 @@ def test_benchmark_and_shuffle(spark):
     assert got["recall_macro"] == got["recall_at_10"] == 1 and got["speedup"] > 0
     a, b = ([r["id"] for r in vectors.shuffled(df, s).collect()] for s in (1, 2))
     assert a != b and sorted(a) == sorted(b) == list(range(40)) and a == [r["id"] for r in vectors.shuffled(df.repartition(5), 1).collect()]
+
+
+@pytest.mark.parametrize("metric", metrics.METRICS)
+def test_copies_of_a_vector_tie_and_small_blocks_agree(spark, monkeypatch, metric):
+    """Equal vectors rank by id wherever they stand in a block; a task holds few scores at once."""
+    v, _ = data(spark, 90, 7)
+    v[30:] = v[np.arange(60) % 6]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(90)], "id long, values array<double>")
+    queries = df.where("id < 25").select(F.col("id").alias("query_id"), "values")
+    near = metrics.pair_scores(metric, np.repeat(v[:25], 90, axis=0), np.tile(v, (25, 1))).reshape(25, 90)
+    want = np.argsort(-near, axis=1, kind="stable")[:, :12]
+    most, whole = [], metrics.Ranker.products
+    monkeypatch.setattr(vectors, "PAIRS", 64)
+    got = vectors.top_k_batch(df, queries, 12, metric=metric, block=16).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in got] == want.ravel().tolist()
+    assert [r["score"] for r in got] == np.take_along_axis(near, want, 1).ravel().tolist()
+    monkeypatch.setattr(metrics.Ranker, "products", lambda self, at, right: most.append(len(at) * right.shape[1]) or whole(self, at, right))
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: spark.createDataFrame(pd.concat(run([self.toPandas()])), schema))
+    assert [r["id"] for r in vectors.top_k_batch(df, queries, 12, metric=metric, block=16).orderBy("query_id", "rank").collect()] == want.ravel().tolist()
+    assert max(most) <= 64
+
+
+def test_nan_ranks_first_and_hides_nothing(spark):
+    rows = [(0, [float("nan"), 1.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, values array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, values array<double>")
+    for metric in ("dot", "l2"):
+        want = [r["id"] for r in vectors.top_k(df, [1.0, 0.0], 3, metric=metric).collect()]
+        assert [r["id"] for r in vectors.top_k_batch(df, q, 3, metric=metric).orderBy("rank").collect()] == want == [0, 1, 2]
