@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import IvfConfig
@@ -138,38 +138,38 @@ def remove(index: Ivf, ids: DataFrame) -> Ivf:
     return Ivf(index.config, index.centroids, index.postings.join(ids.select("id").distinct(), "id", "left_anti").select("cell_id", "id", "values"))
 
 
-def probes(index: Ivf, queries: DataFrame, nprobe: int | None = None) -> DataFrame:
-    """``query_id, qv, cell_id``: the cells each query looks into, at most as many as there are."""
+def asked_cells(index: Ivf, queries: DataFrame, nprobe: int | None = None) -> DataFrame:
+    """``query_id, values, cells``: the cells each query looks into, nearest first, at most as many as there are."""
     n = max(0, min(index.config.nprobe if nprobe is None else nprobe, len(index.centroids)))
     qid = queries.schema["query_id"].dataType.simpleString()
     centroids, metric = index.centroids, index.config.metric
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            if not len(p) or not n:
+            if not len(p):
                 continue
-            v = np.stack(p["qv"].to_numpy())
+            v = np.stack(p["values"].to_numpy())
             if v.shape[1] != centroids.shape[1]:
                 raise ValueError("vector dimensions differ")
-            cells = nearest(metric, v, centroids, n)
-            yield pd.DataFrame({"query_id": np.repeat(p["query_id"].to_numpy(), n), "qv": [x for x in p["qv"] for _ in range(n)], "cell_id": cells.ravel().astype(np.int32)})
+            yield p.assign(cells=list(nearest(metric, v, centroids, n).astype(np.int32)) if n else [[]] * len(p))
+
+    return queries.select("query_id", F.col("values").cast("array<double>").alias("values")).mapInPandas(run, f"query_id {qid}, values array<double>, cells array<int>")
 
-    return queries.select("query_id", F.col("values").cast("array<double>").alias("qv")).mapInPandas(run, f"query_id {qid}, qv array<double>, cell_id int")
+
+def probes(index: Ivf, queries: DataFrame, nprobe: int | None = None) -> DataFrame:
+    """``query_id, qv, cell_id``: a row for each cell that a query looks into."""
+    return asked_cells(index, queries, nprobe).select("query_id", F.col("values").alias("qv"), F.explode("cells").alias("cell_id"))
 
 
 def search(index: Ivf, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best of the probed cells, ties by id.
 
-    With as many probes as cells this is the exact search.
+    With as many probes as cells this is the exact search. Tasks multiply blocks of a cell's vectors with the queries
+    that look into the cell, as in ``vectors.top_k_batch``; a large cell is dealt to all tasks.
     """
     if not len(index.centroids) or index.postings is None:
         raise RuntimeError("the index is not trained")
-    if k < 0:
-        raise ValueError("k must not be negative")
-    near = probes(index, queries, nprobe).join(index.postings, "cell_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    scored = near.select("query_id", "id", (metrics.score(index.config.metric, F.col("values"), F.col("qv")) + 0.0).alias("score"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return exact.ranked(index.postings.select("cell_id", "id", "values"), asked_cells(index, queries, nprobe), k, metric=index.config.metric)
 
 
 def status(index: Ivf) -> DataFrame:

@@ -1,12 +1,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import IvfConfig
 from tessera.functions import metrics
 from tessera.operators import ivf, vectors
-from tessera.plans import fixtures
+from tessera.plans import fixtures, registry
 
 ROWS = "id long, values array<double>, metadata string, seq long"
 
@@ -156,3 +157,15 @@ def test_nan_ranks_first_and_hides_nothing(spark):
     for metric in ("dot", "l2"):
         want = [r["id"] for r in vectors.top_k(df, [1.0, 0.0], 3, metric=metric).collect()]
         assert [r["id"] for r in vectors.top_k_batch(df, q, 3, metric=metric).orderBy("rank").collect()] == want == [0, 1, 2]
+
+
+def test_search_multiplies_blocks_and_agrees_with_pairs(spark, small):
+    """No row for each pair of a query and a vector of its cells, and the scores of such rows."""
+    index, queries = registry._fixed_index(spark, small), fixtures.vec_queries(spark, small)
+    found = ivf.search(index, queries, 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    pairs = ivf.probes(index, queries).join(index.postings, "cell_id")
+    score = metrics.score("l2", F.col("values"), F.col("qv"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    want = pairs.select("query_id", "id", score.alias("score")).withColumn("rank", rank).where("rank <= 5")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select("query_id", "rank", "id", "score").collect()}
