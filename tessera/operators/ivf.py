@@ -19,6 +19,10 @@ from tessera.functions import metrics
 from tessera.operators import vectors as exact
 
 
+#: Components of all centroids, and scores against them that a task holds at once.
+CENTROID_BOUND, SCORES = 1 << 25, 1 << 22
+
+
 @dataclass(frozen=True)
 class Ivf:
     """Centroids in order of their cell numbers, and ``postings(cell_id, id, values)``."""
@@ -28,7 +32,7 @@ class Ivf:
     postings: DataFrame | None = None
 
     def __post_init__(self):
-        if self.centroids.size > 1 << 25:
+        if self.centroids.size > CENTROID_BOUND:
             raise ValueError("centroids take more than their bound of 2^25 components")
 
     @property
@@ -48,9 +52,26 @@ def seeds(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], dtype=np.float64)
 
 
+def gathered(rows: DataFrame) -> np.ndarray:
+    """The vectors of the one column of ``rows``, in its order: all of them, or an error beyond the bound of centroids."""
+    out, size = [], 0
+    for (v,) in rows.toLocalIterator():
+        out.append(np.array(v, dtype=np.float64))
+        if (size := size + len(v)) > CENTROID_BOUND:
+            raise ValueError("centroids take more than their bound of 2^25 components")
+    return np.array(out)
+
+
 def nearest(metric: str, vectors: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     """Numbers of the ``n`` nearest centroids, ties to the lowest."""
-    return np.argsort(-metrics.block_scores(metric, vectors, centroids), axis=1, kind="stable")[:, :n]
+    step, out = max(1, SCORES // max(1, len(centroids))), []
+    for i in range(0, max(1, len(vectors)), step):
+        far = -metrics.block_scores(metric, vectors[i : i + step], centroids)
+        if n == 1 and far.size:
+            out.append(np.where(np.isnan(far), np.inf, far).argmin(axis=1)[:, None])
+        else:
+            out.append(np.argsort(far, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", block: int = 4096) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,10 +264,10 @@ def vec_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _fixed_index(spark: SparkSession, sf: str) -> ivf.Ivf:
     """Cells around the mean vector of each label."""
     e = fx.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
-    rows = e.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).orderBy("label").limit(1024).collect()
-    centroids = np.array([[c["x"] for c in r["v"]] for r in rows])
+    means = e.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).orderBy("label")
+    centroids = ivf.gathered(means.select("v.x"))
     v = fx.vectors(spark, sf)
-    return ivf.Ivf(IvfConfig(nlist=len(rows), nprobe=3), centroids, ivf.assign(v, centroids))
+    return ivf.Ivf(IvfConfig(nlist=len(centroids), nprobe=3), centroids, ivf.assign(v, centroids))
 
 
 @query

@@ -169,3 +169,22 @@ def test_search_multiplies_blocks_and_agrees_with_pairs(spark, small):
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     want = pairs.select("query_id", "id", score.alias("score")).withColumn("rank", rank).where("rank <= 5")
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select("query_id", "rank", "id", "score").collect()}
+
+
+def test_index_has_a_cell_for_each_of_many_labels(spark, tmp_path, monkeypatch):
+    rows = [(i, [float(i % 1100), float(i % 7)], i % 1100) for i in range(1300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sizes = {r["cell_id"]: r["size"] for r in registry.ivf_status(spark, str(tmp_path)).collect()}
+    assert len(sizes) == 1100 and sum(sizes.values()) == 1300
+    monkeypatch.setattr(ivf, "CENTROID_BOUND", 100)
+    with pytest.raises(ValueError, match="bound"):
+        registry._fixed_index(spark, str(tmp_path))
+
+
+def test_nearest_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    v, c = rng.normal(size=(50, 4)), rng.normal(size=(9, 4))
+    whole = [ivf.nearest(m, v, c, n) for m in metrics.METRICS for n in (1, 3)]
+    monkeypatch.setattr(ivf, "SCORES", 20)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, [ivf.nearest(m, v, c, n) for m in metrics.METRICS for n in (1, 3)]))
+    assert np.array_equal(whole[1][:, :1], whole[0])
