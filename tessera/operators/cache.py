@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import in_order
+
 
 class Lru:
     """A bounded cache of keys in order of use, with the counters of a store's cache."""
@@ -64,76 +68,122 @@ class Lru:
         return 100 * self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
 
 
-def _stacks(trace: DataFrame, capacity: int, rounds: int) -> DataFrame:
-    """``block, key, at``: the ``capacity`` keys used last before each block begins.
+#: Blocks whose summaries one task goes through in order.
+GROUP = 64
 
-    A block's own last uses are merged with those of 1, 2, 4 ... blocks before it, cut to ``capacity`` each time, so
-    after a logarithmic number of rounds each block has seen all that matters of its past.
-    """
-    newest = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("at")))
 
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("block", "key").agg(F.max("at").alias("at")).withColumn("r", newest).where(F.col("r") <= capacity).drop("r")
+def _last_used(rows: DataFrame, capacity: int) -> DataFrame:
+    """``block, seq, key``: of each block's keys the ``capacity`` used last, with their last use."""
+    newest = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("seq")))
+    return rows.groupBy("block", "key").agg(F.max("seq").alias("seq")).withColumn("r", newest).where(F.col("r") <= capacity).select("block", "seq", "key")
+
 
-    seen = cut(trace.select("block", "key", F.col("seq").alias("at")))
-    for r in range(rounds):
-        step = 1 << r
-        seen = cut(seen.union(seen.select((F.col("block") + step).alias("block"), "key", "at").where(F.col("block") < 1 << rounds)))
-    return seen.select((F.col("block") + 1).alias("block"), "key", "at")
+def _starts(last: DataFrame, blocks: int, capacity: int) -> DataFrame:
+    """``block, seq, key``: the ``capacity`` keys used last before each block of ``last``, which is as of ``_last_used``.
+
+    Groups of ``GROUP`` blocks are gone through at once, in order within each. What comes before a group is found in
+    the same way from the groups' own summaries, so each level has a small part of the rows of the one below.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in last.schema}
+    rows = last.select(F.floor(F.col("block") / GROUP).alias("group"), "seq", "key", "block")
+    if blocks > GROUP:
+        groups = _last_used(rows.select(F.col("group").alias("block"), "seq", "key"), capacity)
+        before = _starts(groups, (blocks - 1) // GROUP + 1, capacity)
+        rows = rows.union(before.select("block", "seq", "key", F.lit(-1).cast("long")))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, group, at = OrderedDict(), None, -1
+        for p in parts:
+            out = []
+            for g, seq, key, block in zip(p["group"].tolist(), p["seq"].tolist(), p["key"].tolist(), p["block"].tolist()):
+                if g != group:
+                    held, group, at = OrderedDict(), g, -1
+                if block not in (-1, at):
+                    at = block
+                    out += [(block, s, k) for k, s in held.items()]
+                held[key] = seq
+                held.move_to_end(key)
+                if len(held) > capacity:
+                    held.popitem(last=False)
+            if out:
+                yield pd.DataFrame(out, columns=["block", "seq", "key"])
+
+    return in_order(rows, "group", "seq").mapInPandas(run, f"block long, seq {kinds['seq']}, key {kinds['key']}")
+
+
+def _accesses(trace: DataFrame, most: int, block_rows: int) -> DataFrame:
+    """``block, seq, key, own``: each block's accesses in order, after those that fill a cache of ``most`` keys with what
+    it holds when the block begins; these are not its ``own``."""
+    ends = trace.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    if ends["a"] is None:
+        return trace.select(F.lit(0).alias("block"), "seq", "key", F.lit(True).alias("own"))
+    blocks = int((ends["b"] - ends["a"]) // block_rows) + 1
+    rows = trace.select(F.floor((F.col("seq") - ends["a"]) / block_rows).alias("block"), "seq", "key")
+    out = rows.withColumn("own", F.lit(True))
+    if blocks > 1 and most:
+        out = out.union(_starts(_last_used(rows, most), blocks, most).withColumn("own", F.lit(False)))
+    return in_order(out, "block", "seq")
+
+
+def _hits(capacities: list[int], parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Batches of own accesses out of ``_accesses``, and for each capacity which of them hit."""
+    block, held = None, [OrderedDict() for _ in capacities]
+    for p in parts:
+        hits = [[] for _ in capacities]
+        caches = [(h, c, x.append) for h, c, x in zip(held, capacities, hits)]
+        for b, key in zip(p["block"].tolist(), p["key"].tolist()):
+            if b != block:
+                block = b
+                for h in held:
+                    h.clear()
+            for h, c, tell in caches:
+                if key in h:
+                    h.move_to_end(key)
+                    tell(True)
+                else:
+                    h[key] = None
+                    if len(h) > c:
+                        h.popitem(last=False)
+                    tell(False)
+        own = p["own"].to_numpy(dtype=bool)
+        if own.any():
+            yield p[own], [np.array(x, dtype=bool)[own] for x in hits]
 
 
 def access_trace(trace: DataFrame, capacity: int, *, block_rows: int = 50_000) -> DataFrame:
     """``seq, key, hit`` for a trace ``(seq, key)`` of get-then-set accesses to one LRU cache.
 
     The trace is cut into blocks of about ``block_rows`` sequence numbers. The cache's content at a block's start is
-    the ``capacity`` keys used last before it, found by merging block summaries; blocks are then simulated at once.
+    the ``capacity`` keys used last before it, found from summaries of the blocks; blocks are then simulated at once.
     """
     if capacity < 0:
         raise ValueError("capacity must not be negative")
-    ends = trace.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
-    if ends["a"] is None or capacity == 0:
+    if capacity == 0:
         return trace.select("seq", "key", F.lit(False).alias("hit"))
-    blocks = (ends["b"] - ends["a"]) // block_rows + 1
-    rows = trace.select("seq", "key", F.floor((F.col("seq") - ends["a"]) / block_rows).alias("block"))
     kinds = {f.name: f.dataType.simpleString() for f in trace.select("seq", "key").schema}
-    schema = f"seq {kinds['seq']}, key {kinds['key']}, hit boolean"
 
-    def run(part: pd.DataFrame, start: list) -> pd.DataFrame:
-        lru = Lru(capacity)
-        for k in start:
-            lru.set(k)
-        part = part.sort_values("seq")
-        hits = []
-        for k in part["key"]:
-            hits.append(lru.get(k))
-            lru.set(k)
-        return pd.DataFrame({"seq": part["seq"], "key": part["key"], "hit": hits})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, (hit,) in _hits([capacity], parts):
+            yield pd.DataFrame({"seq": p["seq"], "key": p["key"], "hit": hit})
 
-    if blocks == 1:
-        return rows.groupBy("block").applyInPandas(lambda part: run(part, []), schema)
-    # Names and attributes of their own: columns that both sides share would be pruned with the result's.
-    starts = _stacks(rows, capacity, max(1, (blocks - 1).bit_length())).where(F.col("block") < blocks).toDF("start_block", "start_key", "start_at")
-    starts = starts.select(*[(F.col(c) if c == "start_key" else F.col(c) + 0).alias(c) for c in starts.columns])
+    return _accesses(trace, capacity, block_rows).mapInPandas(run, f"seq {kinds['seq']}, key {kinds['key']}, hit boolean")
 
-    def resumed(part: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return part.assign(hit=False)[["seq", "key", "hit"]]
-        return run(part, first.sort_values("start_at")["start_key"].tolist())
 
-    return rows.groupBy("block").cogroup(starts.groupBy("start_block")).applyInPandas(resumed, schema)
+def hit_rates(trace: DataFrame, capacities: list[int], *, block_rows: int = 50_000) -> DataFrame:
+    """``capacity, hits, misses, evictions, final_size, hit_rate`` of each capacity, all in one pass; the rate in percent."""
+    if min(capacities) < 0:
+        raise ValueError("capacity must not be negative")
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, hits in _hits(capacities, parts):
+            yield pd.DataFrame({"n": [len(p)], "hits": [[int(x.sum()) for x in hits]]})
 
-def hit_rates(trace: DataFrame, capacities: list[int], *, block_rows: int = 50_000) -> DataFrame:
-    """``capacity, hits, misses, evictions, final_size, hit_rate`` of each capacity; the rate in percent."""
-    out = None
-    keys = trace.agg(F.countDistinct("key")).scalar()
-    for c in capacities:
-        got = access_trace(trace, c, block_rows=block_rows).agg(F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.count("*").alias("n"))
-        size = F.least(keys, F.lit(c)).cast("long")
-        one = got.select(F.lit(c).alias("capacity"), "hits", (F.col("n") - F.col("hits")).alias("misses"), size.alias("final_size"))
-        one = one.select("capacity", "hits", "misses", (F.col("misses") - F.col("final_size")).alias("evictions"), "final_size", F.coalesce(F.try_divide(F.col("hits") * 100.0, F.col("hits") + F.col("misses")), F.lit(0.0)).alias("hit_rate"))
-        out = one if out is None else out.union(one)
-    return out
+    counts = _accesses(trace, max(capacities), block_rows).mapInPandas(run, "n long, hits array<long>")
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array(*[F.coalesce(F.sum(F.get("hits", F.lit(i))), F.lit(0)) for i in range(len(capacities))]).alias("hits"))
+    each = sums.select("n", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in capacities]).alias("capacity"), "hits")).alias("x")).select("x.capacity", "x.hits", "n")
+    size = F.least(trace.agg(F.countDistinct("key")).scalar(), F.col("capacity")).cast("long")
+    out = each.select("capacity", "hits", (F.col("n") - F.col("hits")).alias("misses"), size.alias("final_size"))
+    return out.select("capacity", "hits", "misses", (F.col("misses") - F.col("final_size")).alias("evictions"), "final_size", F.coalesce(F.try_divide(F.col("hits") * 100.0, F.col("hits") + F.col("misses")), F.lit(0.0)).alias("hit_rate"))
 
 
 def keys_in_order(trace: DataFrame, capacity: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import cache
 
@@ -57,3 +58,25 @@ def test_resize():
     assert lru.keys_in_order() == ["c"] and lru.evictions == 2
     with pytest.raises(ValueError):
         lru.resize(-1)
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_many_blocks_in_groups_and_gaps(spark, monkeypatch, step):
+    """Summaries of blocks go through several levels; blocks without rows need none."""
+    monkeypatch.setattr(cache, "GROUP", 3)
+    rng = random.Random(step)
+    keys = [f"k{rng.randrange(4)}" if i < 300 else f"k{min(rng.randrange(60), rng.randrange(60))}" for i in range(700)]
+    df = spark.createDataFrame([(i if i < 350 else i + step * 10, k) for i, k in enumerate(keys)], "seq long, key string").repartition(5)
+    got = cache.access_trace(df, 9, block_rows=10).orderBy("seq").collect()
+    assert [r["hit"] for r in got] == simulate(keys, 9)[0] and [r["key"] for r in got] == keys
+    rates = {r["capacity"]: (r["hits"], r["misses"], r["evictions"], r["final_size"]) for r in cache.hit_rates(df, [2, 0, 9, 30], block_rows=10).collect()}
+    assert rates == {c: ((lru := simulate(keys, c)[1]).hits, lru.misses, lru.evictions, len(lru.entries)) for c in (2, 0, 9, 30)}
+
+
+def test_one_pass_whatever_the_number_of_blocks_and_capacities(spark):
+    """The table is read a fixed number of times: for the summaries, the accesses and the number of keys."""
+    df = spark.range(4000).select(F.col("id").alias("seq"), (F.col("id") % 7).cast("string").alias("key"))
+    plan = lambda block: cache.hit_rates(df, [1, 2, 3], block_rows=block)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(500).count("Range (0, 4000") == 3 and plan(10).count("Range (0, 4000") <= 5
+    assert plan(500).count("MapInPandas") == 2
+    assert cache.hit_rates(df.limit(0), [3, 0]).select("capacity", "hits", "misses", "evictions", "final_size", "hit_rate").collect() == [(3, 0, 0, 0, 0, 0.0), (0, 0, 0, 0, 0, 0.0)]
