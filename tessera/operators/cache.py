@@ -206,18 +206,22 @@ def fold(trace: DataFrame, capacity: int) -> DataFrame:
     if capacity < 0:
         raise ValueError("capacity must not be negative")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        lru, out = Lru(capacity), []
-        part = part.sort_values("seq")
-        for op, key, ttl, now in zip(part["op"], part["key"], part["ttl_ms"], part["ts_ms"]):
-            if op == "SET":
-                lru.set(key, now + ttl if ttl == ttl and ttl else None)
-                out.append(None)
-            elif op == "CLEAR":
-                lru.clear()
-                out.append(None)
-            else:
-                out.append(lru.get(key, now) if op == "GET" else lru.has(key, now) if op == "HAS" else lru.delete(key))
-        return part[["cache", "seq", "op", "key"]].assign(hit=pd.Series(out, index=part.index, dtype=object))
-
-    return trace.select("cache", "seq", "op", "key", F.col("ttl_ms").cast("double").alias("ttl_ms"), F.col("ts_ms").cast("double").alias("ts_ms")).groupBy("cache").applyInPandas(run, "cache string, seq long, op string, key string, hit boolean")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, lru = None, None
+        for part in parts:
+            out = []
+            for c, op, key, ttl, now in zip(part["cache"], part["op"], part["key"], part["ttl_ms"], part["ts_ms"]):
+                if lru is None or c != cache:
+                    cache, lru = c, Lru(capacity)
+                if op == "SET":
+                    lru.set(key, now + ttl if ttl == ttl and ttl else None)
+                    out.append(None)
+                elif op == "CLEAR":
+                    lru.clear()
+                    out.append(None)
+                else:
+                    out.append(lru.get(key, now) if op == "GET" else lru.has(key, now) if op == "HAS" else lru.delete(key))
+            yield part[["cache", "seq", "op", "key"]].assign(hit=pd.Series(out, index=part.index, dtype=object))
+
+    rows = trace.select("cache", "seq", "op", "key", F.col("ttl_ms").cast("double").alias("ttl_ms"), F.col("ts_ms").cast("double").alias("ts_ms"))
+    return in_order(rows, "cache", "seq").mapInPandas(run, "cache string, seq long, op string, key string, hit boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import FaultConfig
+from tessera.operators.folds import in_order
 
 CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
 
@@ -55,26 +56,29 @@ def breaker_states(calls: DataFrame, config: FaultConfig = FaultConfig()) -> Dat
     """``seq, node_id, admitted, state, failures`` after each call ``(seq, node_id, ok, ts_ms)``, in order, per node.
 
     ``ok`` of a call that is not admitted does not matter. A row whose optional ``force`` is not null sets the state
-    instead of being a call.
+    instead of being a call. A node's calls are one task's, but pass through it batch by batch.
     """
     rows = calls if "force" in calls.columns else calls.withColumn("force", F.lit(None).cast("string"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part, b, out, shown = part.sort_values("seq"), Breaker(config), [], None
-        for ok, now, force in zip(part["ok"], part["ts_ms"], part["force"]):
-            if isinstance(force, str):
-                b.force(force)
-                shown = None if force == CLOSED else force
-                out.append((None, shown or b.state, b.failures))
-                continue
-            if admitted := b.admits(now):
-                b.record(bool(ok), now)
-            shown = None
-            out.append((admitted, b.state, b.failures))
-        admitted, state, failures = zip(*out)
-        return pd.DataFrame({"seq": part["seq"], "node_id": part["node_id"], "admitted": pd.Series(admitted, index=part.index, dtype=object), "state": state, "failures": failures})
-
-    return rows.select("seq", "node_id", "ok", "ts_ms", "force").groupBy("node_id").applyInPandas(run, "seq long, node_id string, admitted boolean, state string, failures long")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, b = None, None
+        for part in parts:
+            out = []
+            for n, ok, now, force in zip(part["node_id"], part["ok"], part["ts_ms"], part["force"]):
+                if b is None or n != node:
+                    node, b = n, Breaker(config)
+                if isinstance(force, str):
+                    b.force(force)
+                    out.append((None, b.state if force == CLOSED else force, b.failures))
+                    continue
+                if admitted := b.admits(now):
+                    b.record(bool(ok), now)
+                out.append((admitted, b.state, b.failures))
+            if out:
+                admitted, state, failures = zip(*out)
+                yield pd.DataFrame({"seq": part["seq"], "node_id": part["node_id"], "admitted": pd.Series(admitted, index=part.index, dtype=object), "state": state, "failures": failures})
+
+    return in_order(rows.select("seq", "node_id", "ok", "ts_ms", "force"), "node_id", "seq").mapInPandas(run, "seq long, node_id string, admitted boolean, state string, failures long")
 
 
 def health_transitions(calls: DataFrame, config: FaultConfig = FaultConfig()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.config import FaultConfig, StoreConfig
 from tessera.engine import KeyValueStore, VectorCollection, collection, store
 from tessera.functions import text
-from tessera.operators import health, latency, lsm, rag, state
+from tessera.operators import cache, health, latency, lsm, rag, state
 from tessera.sources.log import KV_LOG, Layout, append_kv_lines, read_kv_lines, segment_name, stream_kv_lines
 from tessera.streaming import replay
 
@@ -216,3 +216,34 @@ def test_stream_gives_the_batch_state(spark, tmp_path):
     assert len(replay.versions(spark, str(tmp_path / "state"))) <= 2
 
 
+
+
+def test_breakers_and_caches_stream_through_batches(spark):
+    """A node's calls pass through in batches, whatever the order they come in; no group is a data frame of its own."""
+    rng = random.Random(2)
+    t, rows = 0, []
+    for i in range(600):
+        t += rng.choice((1, 1, 40_000))
+        rows.append((i, f"n{rng.randrange(3)}", rng.random() < 0.4, t))
+    df = spark.createDataFrame(rows, "seq long, node_id string, ok boolean, ts_ms long").orderBy(F.desc("seq"))
+    breakers, want = {}, {}
+    for seq, node, ok, now in rows:
+        b = breakers.setdefault(node, health.Breaker())
+        if admitted := b.admits(now):
+            b.record(ok, now)
+        want[seq] = (node, admitted, b.state, b.failures)
+    trace = df.select(F.col("node_id").alias("cache"), "seq", F.when(F.col("ok"), "GET").otherwise("SET").alias("op"), (F.col("seq") % 11).cast("string").alias("key"), F.lit(None).cast("long").alias("ttl_ms"), "ts_ms")
+    caches, hits = {}, {}
+    for seq, node, ok, _ in rows:
+        lru = caches.setdefault(node, cache.Lru(4))
+        hits[seq] = lru.get(str(seq % 11)) if ok else lru.set(str(seq % 11))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = health.breaker_states(df)
+        assert {r["seq"]: tuple(r)[1:] for r in got.collect()} == want
+        folded = cache.fold(trace, 4)
+        assert {r["seq"]: r["hit"] for r in folded.collect()} == hits
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert not any("FlatMapGroups" in x._jdf.queryExecution().toString() for x in (got, folded))
